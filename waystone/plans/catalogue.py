@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from . import search_queries, spatial_queries, text_queries, usage_queries  # noqa: F401
+from . import search_queries, source_queries, spatial_queries, text_queries, usage_queries  # noqa: F401
 from .registry import CHECKS, QUERIES
 
 __all__ = ["CHECKS", "QUERIES"]
