@@ -160,12 +160,12 @@ def _limit(plan: Column, place: int) -> Column:
     return out
 
 
-def _counters(usage: DataFrame, as_of: str) -> DataFrame:
+def _counters(rollup: DataFrame, as_of: str) -> DataFrame:
     """Per user: billable this month, billable today, calls today, calls ever."""
     day = F.lit(as_of).cast("date")
     this_month = F.col("date") >= F.trunc(day, "month")
     today = F.col("date") >= day
-    return daily_rollup(usage).groupBy("user_id").agg(
+    return rollup.groupBy("user_id").agg(
         _sum("billable", this_month).alias("month_billable"),
         _sum("billable", today).alias("day_billable"),
         _sum("calls", today).alias("day_calls"),
@@ -185,7 +185,19 @@ def rate_limit_status(
     An active subscription replaces the monthly figure only.
     """
     month_start = F.trunc(F.lit(as_of).cast("date"), "month").cast("timestamp_ntz")
-    counts = _counters(usage.filter(F.col("created_at") >= month_start), as_of)
+    rollup = daily_rollup(usage.filter(F.col("created_at") >= month_start))
+    return rate_limits_of_rollup(users, subscriptions, rollup, as_of, admin_emails)
+
+
+def rate_limits_of_rollup(
+    users: DataFrame,
+    subscriptions: DataFrame,
+    rollup: DataFrame,
+    as_of: str,
+    admin_emails: list[str] | None = None,
+) -> DataFrame:
+    """The same from a rollup (any sum of ``daily_rollup`` parts)."""
+    counts = _counters(rollup, as_of)
     active = subscriptions.filter("is_active").select("user_id", "monthly_limit")
     rows = (
         users.withColumnRenamed("id", "user_id")
@@ -214,7 +226,7 @@ def rate_limit_status(
 
 def user_activity(users: DataFrame, usage: DataFrame, keys: DataFrame, as_of: str) -> DataFrame:
     """User list with month, day and overall usage and the number of active keys."""
-    counts = _counters(usage, as_of)
+    counts = _counters(daily_rollup(usage), as_of)
     active = keys.filter("is_active").groupBy("user_id").agg(F.count("*").alias("active_keys"))
     rows = users.withColumnRenamed("id", "user_id").join(counts, "user_id", "left")
     rows = rows.join(active, "user_id", "left")

@@ -214,7 +214,7 @@ spell as (
               else 'st' end as k1,
          case short_kind when 'dr' then 'drive' when 'rd' then 'road' when 'ave' then 'avenue'
               else 'street' end as k2
-  from questions where form not in (8, 9)),
+  from questions),
 pairs as (
   select q.qid, a.id, a.full_address,
          q.s <> '' and (contains(lower(a.street), q.s)
@@ -258,7 +258,7 @@ def component_tiers(t):
         F.col("x_city").alias("city"),
         F.col("x_zip").alias("zip"),
     )
-    queries = t.questions.filter("form not in (8, 9)").select("qid", part.alias("parsed"))
+    queries = t.questions.select("qid", part.alias("parsed"))
     return gc.component_tiers(queries, address_rows(t), 50).select(
         "qid", "tier", "is_exact", "rank", "id", "full_address"
     )

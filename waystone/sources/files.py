@@ -203,7 +203,20 @@ def read_features(
         return listed.select(
             F.explode("doc.features").alias("feature"), "_file", "_start"
         ).select("feature", "_file", _source_order())
-    pieces = spark.read.option("lineSep", '"Feature"').text(path).select("value", *where)
+    pieces = feature_pieces(spark.read, path)
+    return parse_pieces(pieces, properties)
+
+
+def feature_pieces(reader, path: str | list[str]) -> DataFrame:
+    """Raw pieces of feature files; ``reader`` is ``spark.read`` or ``spark.readStream``."""
+    return reader.option("lineSep", '"Feature"').text(path).select(
+        "value",
+        F.col("_metadata.file_path").alias("_file"),
+        F.col("_metadata.file_block_start").alias("_start"),
+    )
+
+
+def parse_pieces(pieces: DataFrame, properties: str = "string") -> DataFrame:
     ordered = pieces.select("value", "_file", _source_order())
     # The piece before the first mark opens the file and holds no feature.
     rest = ordered.filter(~F.ltrim("value").startswith("{"))
@@ -264,12 +277,19 @@ def read_address_geojson(
     needs one of the two; region from the properties. Other features than
     points are left out.
     """
-    rows = read_features(spark, path, whole_files=whole_files)
+    features = read_features(spark, path, whole_files=whole_files)
+    return address_rows(features, flavour, county, state)
+
+
+def address_rows(
+    features: DataFrame, flavour: str, county: str | None = None, state: str | None = None
+) -> DataFrame:
+    """Features (see ``read_features``) -> address rows."""
     spot = F.from_json(
         F.when(F.col("feature.geometry.type") == "Point", F.col("feature.geometry.coordinates")),
         "array<double>",
     )
-    rows = rows.select(
+    rows = features.select(
         F.try_parse_json("feature.properties").alias("p"), spot.alias("at"), "_file", "source_order"
     ).filter(F.size("at") >= 2)
     table = DATASET_PROPS if flavour == "dataset" else COUNTY_PROPS
