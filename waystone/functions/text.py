@@ -58,11 +58,12 @@ def title_words(c: Column) -> Column:
 
 def expand_street(c: Column) -> Column:
     """Spell out an abbreviated last word; the blanks before it become one."""
-    pattern = r"(?s)^(.*?)\s+(\S+)\z"
-    full = F.try_element_at(_table(lx.suffix_words()), F.upper(F.regexp_extract(c, pattern, 2)))
-    return F.when(full.isNull(), c).otherwise(
-        F.concat_ws(" ", F.regexp_extract(c, pattern, 1), full)
-    )
+    blanks = F.lit(" \t\n\r\f\u000b")
+    last = F.substring_index(F.translate(c, "\t\n\r\f\u000b", "     "), " ", -1)
+    full = F.try_element_at(_table(lx.suffix_words()), F.upper(last))
+    before = F.rtrim(F.left(c, F.length(c) - F.length(last)), blanks)
+    abbreviated = full.isNotNull() & (F.length(last) < F.length(c))
+    return F.when(abbreviated, F.concat(before, F.lit(" "), full)).otherwise(c)
 
 
 def full_address(house, street, unit, city, region, postcode, style: str = "expanded") -> Column:

@@ -1,29 +1,36 @@
 """Substring search for many needles at once, as an equi-join on three-letter pieces.
 
 A text can only contain a needle if it contains every three-letter piece of it.
-Each needle is looked up under its rarest piece; every hit is checked again.
-Pieces are hashed into a fixed number of buckets, so the table of bucket counts
-has a proven size limit and may be broadcast, and buckets held by many texts are
-cut into chunks, so that no task receives a whole hot bucket.
+Each needle is looked up under its rarest piece; every hit is checked again by
+the caller. Counts are kept per hash bucket of the pieces, so the table of
+counts has a proven size limit and may be broadcast, and pieces held by many
+texts are cut into chunks, so that no task receives all texts of a common piece.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BUCKETS = 65536  # at most this many rows in a broadcast table
-CHUNK = 200_000  # texts per (bucket, chunk) group
+BUCKETS = 65536  # a broadcast table has at most this many rows, and one more
+CHUNK = 200_000  # texts per (piece, chunk) group
 
 
-def pieces(c: Column) -> Column:
-    """Distinct buckets of the three-letter pieces of a lower-cased text."""
-    starts = F.sequence(F.lit(1), F.length(c) - 2)
-    hashed = F.transform(
-        starts, lambda i: F.pmod(F.xxhash64(F.substr(c, i, F.lit(3))), F.lit(BUCKETS)).cast("int")
-    )
-    return F.when(F.length(c) >= 3, F.array_distinct(hashed)).otherwise(
-        F.array().cast("array<int>")
+def _bucket(piece: str) -> Column:
+    return F.expr(f"if({piece} = '', -1, cast(pmod(xxhash64({piece}), {BUCKETS}) as int))")
+
+
+def _with_pieces(texts: DataFrame, text: str) -> DataFrame:
+    """One row per distinct piece of the text, and one with the empty piece.
+
+    A piece is taken at its first position only, which keeps it unique without
+    grouping.
+    """
+    return (
+        texts.withColumn("_i", F.expr(f"explode(sequence(0, greatest(length({text}) - 2, 0)))"))
+        .withColumn("_piece", F.expr(f"if(_i = 0, '', substring({text}, _i, 3))"))
+        .filter(f"_i = 0 or instr({text}, _piece) = _i")
+        .drop("_i")
     )
 
 
@@ -38,45 +45,44 @@ def containment_candidates(
 
     ``required`` is an array column of lower-cased strings that must all occur
     in ``text``; the caller still has to check them.  ``on`` are equal columns
-    of both sides.  Needles without any piece meet every text (bucket -1).
+    of both sides.  Needles without any piece meet every text, in chunks.
     """
-    text_pieces = texts.select(F.explode(pieces(F.col(text))).alias("_b"))
-    counts = text_pieces.groupBy("_b").agg(F.count("*").alias("_df"))
-    everything = texts.agg(F.count("*").alias("_df")).select(F.lit(-1).alias("_b"), "_df")
-    counts = counts.unionByName(everything)
-
-    asked = needles.withColumn("_id", F.struct(*needles.columns)).withColumn(
-        "_pieces", F.array_distinct(F.flatten(F.transform(required, pieces)))
+    counts = (
+        _with_pieces(texts.select(text), text)
+        .groupBy(_bucket("_piece").alias("_b"))
+        .agg(F.count("*").alias("_df"))
     )
-    asked = asked.withColumn(
-        "_b",
-        F.explode(
-            F.when(F.size("_pieces") > 0, F.col("_pieces")).otherwise(F.array(F.lit(-1)))
-        ),
+    pieces = F.expr(
+        "flatten(transform(filter(_required, s -> length(s) >= 3), "
+        "s -> transform(sequence(1, length(s) - 2), i -> substring(s, i, 3))))"
+    )
+    asked = (
+        needles.withColumn("_id", F.struct(*needles.columns))
+        .withColumn("_required", required)
+        .withColumn("_pieces", F.array_distinct(pieces))
+        .withColumn(
+            "_piece", F.expr("explode(if(size(_pieces) > 0, _pieces, array('')))")
+        )
+        .select("_id", "_piece", _bucket("_piece").alias("_b"))
     )
     # A piece that no text holds (count 0) proves that the needle has no match.
     anchors = (
         asked.join(F.broadcast(counts), "_b", "left")
-        .withColumn("_df", F.coalesce("_df", F.lit(0)))
         .groupBy("_id")
-        .agg(F.min(F.struct("_df", "_b")).alias("_anchor"))
-        .select(
-            "_id.*",
-            F.col("_anchor._b").alias("_b"),
-            F.ceil(F.col("_anchor._df") / CHUNK).alias("_chunks"),
-        )
-        .filter(F.col("_chunks") > 0)
+        .agg(F.min(F.struct(F.coalesce("_df", F.lit(0)).alias("_df"), "_piece", "_b")).alias("_a"))
+        .filter("_a._df > 0")
+        .select("_id.*", "_a._piece", "_a._b", F.ceil(F.col("_a._df") / CHUNK).alias("_chunks"))
     )
     wanted = anchors.select("_b", "_chunks").distinct()
+    columns = [c for c in texts.columns if c not in on]
     posted = (
-        texts.withColumn(
-            "_b", F.explode(F.concat(pieces(F.col(text)), F.array(F.lit(-1))))
-        )
+        _with_pieces(texts, text)
+        .withColumn("_b", _bucket("_piece"))
         .join(F.broadcast(wanted), "_b")
         .withColumn("_chunk", F.pmod(F.xxhash64(*texts.columns), F.col("_chunks")))
-        .drop("_chunks")
+        .select(*on, "_piece", "_chunk", *columns)
+    )
+    spread = anchors.withColumn("_chunk", F.expr("explode(sequence(0L, _chunks - 1))")).drop(
+        "_chunks", "_b"
     )
-    spread = anchors.withColumn(
-        "_chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_chunks") - 1))
-    ).drop("_chunks")
-    return spread.join(posted, [*on, "_b", "_chunk"]).drop("_b", "_chunk")
+    return spread.join(posted, [*on, "_piece", "_chunk"]).drop("_piece", "_chunk")

@@ -101,17 +101,19 @@ def filtered_search(
     offset: int = 0,
     extra: dict[str, Column] | None = None,
     totals: bool = True,
+    helpers: dict[str, Column] | None = None,
 ) -> DataFrame:
     """Rows meeting each query's conditions: one page per query and the total.
 
     ``needles``: lower-cased strings every match must hold in ``haystack``; they
     find the candidates. ``condition`` is the full test over the columns of both
-    sides. Equal queries are answered once.
+    sides. ``helpers`` are row columns computed once for the tests, ``extra``
+    columns of a match. Equal queries are answered once.
     """
     fields = [c for c in queries.columns if c != "qid"]
     asked = queries.withColumn("question", F.to_json(F.struct(*fields)))
     distinct = asked.drop("qid").dropDuplicates(["question"]).withColumn("_needles", needles)
-    texts = rows.withColumn("_hay", haystack)
+    texts = rows.withColumns(helpers or {}).withColumn("_hay", haystack)
     hits = containment_candidates(distinct, texts, "_hay", F.col("_needles")).filter(condition)
     for name, value in (extra or {}).items():
         hits = hits.withColumn(name, value)
@@ -240,21 +242,27 @@ def search_counties(
     )
 
 
+_FIELDS = ("full_address", "street", "house_number", "city", "postcode", "county")
+
+
 def relevance(tokens: Column) -> Column:
-    """Sum over the words of the weight of the best field that holds the word."""
+    """Sum over the words of the weight of the best field that holds the word.
+
+    Works on the lower-cased helper columns ``_full_address``, ``_street`` ...
+    """
 
     def weight(word: Column) -> Column:
-        def holds(field: Column) -> Column:
-            return F.contains(F.lower(field), word)
+        def holds(field: Column | str) -> Column:
+            return F.contains(field, word)
 
         return (
-            F.when(holds(F.col("full_address")), 150)
-            .when(holds(F.col("street")), 100)
-            .when(holds(F.concat("house_number", F.lit(" "), "street")), 90)
-            .when(holds(F.col("house_number")), 80)
-            .when(holds(F.col("city")), 60)
-            .when(holds(F.col("postcode")), 50)
-            .when(holds(F.col("county")), 30)
+            F.when(holds("_full_address"), 150)
+            .when(holds("_street"), 100)
+            .when(holds(F.concat("_house_number", F.lit(" "), "_street")), 90)
+            .when(holds("_house_number"), 80)
+            .when(holds("_city"), 60)
+            .when(holds("_postcode"), 50)
+            .when(holds("_county"), 30)
             .otherwise(0)
         )
 
@@ -277,13 +285,12 @@ def search_addresses(
     q = q.withColumn(
         "q_words", words(F.lower(strip_unit(F.coalesce("q_q", F.lit("")))))
     ).drop("q_q")
-    fields = ("full_address", "house_number", "street", "city", "county", "postcode")
     km = geo.haversine_km(*(F.col(c) for c in ("q_lat", "q_lng", "latitude", "longitude")))
     test = (
         F.forall("q_words", lambda w: F.contains(F.col("_hay"), w))
-        & _holds("county", "q_county")
-        & _holds("city", "q_city")
-        & _holds("street", "q_street")
+        & _holds("_county", "q_county")
+        & _holds("_city", "q_city")
+        & _holds("_street", "q_street")
         & _equals(F.col("postcode"), F.col("q_postcode"))
         & (F.col("q_lat").isNull() | F.col("q_radius_km").isNull() | (km <= F.col("q_radius_km")))
     )
@@ -299,8 +306,9 @@ def search_addresses(
         F.col("q_words"), _list("q_county", "q_city", "q_postcode", "q_street")
     )
     return filtered_search(
-        q, addresses, _haystack(*fields), needles, test, order, k, offset,
-        {"relevance_score": relevance(F.col("q_words")), "distance_km": near}, totals,
+        q, addresses, F.concat_ws("\n", *(f"_{c}" for c in _FIELDS)), needles, test, order, k,
+        offset, {"relevance_score": relevance(F.col("q_words")), "distance_km": near}, totals,
+        {f"_{c}": F.lower(c) for c in _FIELDS},
     )
 
 

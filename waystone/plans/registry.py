@@ -25,6 +25,11 @@ class Tables:
             return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
         return views.view(self.spark, self.sf_dir, name)
 
+    def spread(self, df: DataFrame, key: str = "id") -> DataFrame:
+        """Rows over all cores: a data folder holds each table as a single file,
+        too few tasks for text matching. Real address tables have many files."""
+        return df.repartition(self.spark.sparkContext.defaultParallelism, key)
+
 
 def query(name: str, sql: str | None = None, reads: tuple[str, ...] = ()):
     """Register ``f(tables) -> DataFrame``; ``sql`` may use the views in ``reads``."""

@@ -264,7 +264,7 @@ from r where rank <= 25""",
 def search_addresses(t):
     t.question_parts.createOrReplaceTempView("question_parts")
     queries = t.spark.sql(_WORD_QUERIES)
-    rows = t.address_lines.drop("suffix", "unit", "region")
+    rows = t.spread(t.address_lines.drop("suffix", "unit", "region"))
     return se.search_addresses(queries, rows, 25).select(
         "qid", "total", "rank", "id", "relevance_score"
     )
@@ -300,7 +300,7 @@ def field_filters(t):
         F.when(n % 5 == 0, "County 3").alias("county"),
         F.when(n % 3 == 1, F.col("zip_code")).alias("postcode"),
     )
-    rows = t.address_lines.drop("suffix", "unit", "region")
+    rows = t.spread(t.address_lines.drop("suffix", "unit", "region"))
     return se.search_addresses(queries, rows, 10).select("qid", "total", "rank", "id")
 
 
@@ -332,7 +332,8 @@ def zip_fallback(t):
     )
     named = t.cities.select("id", F.col("city_ascii").alias("city"), F.col("state_id").alias("state"))
     queries = asked.join(named, "id").drop("id")
-    rows = t.address_lines.select("id", "house_number", "street", "city", "postcode", "county")
+    columns = ["id", "house_number", "street", "city", "postcode", "county"]
+    rows = t.spread(t.address_lines.select(*columns))
     return se.zip_fallback(queries, t.cities, rows).select("qid", "zip_code", "rank", "id")
 
 

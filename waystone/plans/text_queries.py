@@ -199,9 +199,10 @@ def key_hash(t):
 
 
 def address_rows(t):
-    return t.address_lines.select(
+    rows = t.address_lines.select(
         "id", "full_address", "house_number", "street", "city", "postcode"
     )
+    return t.spread(rows)
 
 
 # The naive form of the tiers: every question against every address.
