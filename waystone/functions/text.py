@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import lexicon as lx
@@ -18,10 +18,13 @@ def _quoted(value) -> str:
     return f"array({', '.join(map(_quoted, value))})"
 
 
+def _map_sql(entries: dict) -> str:
+    return f"map({', '.join(f'{_quoted(k)}, {_quoted(v)}' for k, v in entries.items())})"
+
+
 def _table(entries: dict) -> Column:
     """A constant map column, written as one SQL literal."""
-    pairs = (f"{_quoted(k)}, {_quoted(v)}" for k, v in entries.items())
-    return F.expr(f"map({', '.join(pairs)})")
+    return F.expr(_map_sql(entries))
 
 
 def _set(values) -> Column:
@@ -106,35 +109,36 @@ def is_street_type(c: Column) -> Column:
     return F.array_contains(_set(_ALL_WORDS), bare)
 
 
-def _spellings_of(table: dict[str, list[str]], word: Column) -> Column:
-    found = F.try_element_at(_table(table), F.regexp_replace(word, r"\.{1,2}\z", ""))
-    return F.coalesce(found, F.array().cast("array<string>"))
-
-
-def query_variants(c: Column) -> Column:
-    """All spellings of a lower-cased query, one changed word at a time.
+def query_variants(df: DataFrame, col: str, into: str = "variant") -> DataFrame:
+    """One row per spelling of a query, lower-cased, one changed word at a time.
 
     The last two words may be street words or directions; within the first
     three words only directions are varied.
     """
-    low = F.lower(c)
-    tokens = words(low)
-    count = F.size(tokens)
-
-    def respelled(place: Column, table: dict) -> Column:
-        spellings = _spellings_of(table, F.try_element_at(tokens, place + 1))
-        return F.transform(
-            spellings,
-            lambda s: F.array_join(
-                F.transform(tokens, lambda t, i: F.when(i == place, s).otherwise(t)), " "
-            ),
+    keep = [c for c in df.columns if c != into]
+
+    def respelled(place: str, table: dict) -> str:
+        word = f"regexp_replace(try_element_at(_tokens, {place} + 1), '[.]{{1,2}}$', '')"
+        spellings = f"coalesce(try_element_at({_map_sql(table)}, {word}), array())"
+        return (
+            f"transform({spellings}, s -> "
+            f"array_join(transform(_tokens, (t, i) -> if(i = {place}, s, t)), ' '))"
         )
 
-    none = F.array().cast("array<string>")
-    parts = [F.array(low), respelled(count - 1, _ALL_WORDS)]
-    parts.append(F.when(count >= 2, respelled(count - 2, _ALL_WORDS)).otherwise(none))
-    parts += [respelled(F.lit(i), _DIRECTIONS) for i in range(3)]
-    return F.when(count == 0, F.array(c)).otherwise(F.array_distinct(F.concat(*parts)))
+    parts = ["array(_low)", respelled("(_n - 1)", _ALL_WORDS)]
+    parts.append(f"if(_n >= 2, {respelled('(_n - 2)', _ALL_WORDS)}, array())")
+    parts += [respelled(str(i), _DIRECTIONS) for i in range(3)]
+    return (
+        df.withColumn("_low", F.lower(col))
+        .withColumn("_tokens", words(F.col("_low")))
+        .withColumn("_n", F.size("_tokens"))
+        .select(
+            *keep,
+            F.expr(
+                f"explode_outer(if(_n = 0, array(_low), array_distinct(concat({', '.join(parts)}))))"
+            ).alias(into),
+        )
+    )
 
 
 def expand_query(c: Column) -> Column:

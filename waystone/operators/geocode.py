@@ -102,9 +102,7 @@ def _component_answers(questions: DataFrame, addresses: DataFrame, k: int) -> Da
         (street_tiers + 1).alias("zip_tier"),
         (street_tiers + has_zip.cast("int") + 1).alias("city_tier"),
     )
-    spelled = asked.filter(has_street).select(
-        "*", F.explode_outer(query_variants(F.col("street"))).alias("spelling")
-    )
+    spelled = query_variants(asked.filter(has_street), "street", "spelling")
 
     # Distinct street names per asked place, matched with the asked spellings.
     named = addresses.select(
@@ -213,6 +211,7 @@ def component_tiers(
 
 def _text_answers(needles: DataFrame, addresses: DataFrame, k: int) -> DataFrame:
     """needles (question, tier, needle) -> first k addresses holding a needle."""
+    needles = stage(needles, "needles")  # read by the search and by the ranking
     texts = addresses.select(
         F.lower("full_address").alias("line"), _record(addresses.columns).alias("rec")
     )
@@ -237,19 +236,13 @@ def _needles(texts: DataFrame) -> DataFrame:
     t = texts.select("question", street_only(F.col("question")).alias("street_text")).withColumn(
         "has_fallback", (F.col("street_text") != "") & (F.col("street_text") != F.col("question"))
     )
-    whole = t.select(
-        "question",
-        "has_fallback",
-        F.explode_outer(query_variants(F.col("question"))).alias("needle"),
-    )
+    whole = query_variants(t, "question", "needle")
     itself = F.col("needle") == F.lower("question")
     whole = whole.select(
         "question", F.when(F.col("has_fallback") | itself, 1).otherwise(2).alias("tier"), "needle"
     )
-    partial = t.filter("has_fallback").select(
-        "question",
-        F.lit(2).alias("tier"),
-        F.explode_outer(query_variants(F.col("street_text"))).alias("needle"),
+    partial = query_variants(t.filter("has_fallback"), "street_text", "needle").select(
+        "question", F.lit(2).alias("tier"), "needle"
     )
     return whole.unionByName(partial)
 
@@ -286,9 +279,7 @@ def search_variants(
 ) -> DataFrame:
     """Addresses holding any spelling of the text, the text as typed first."""
     q = queries.select("qid", F.col(col).alias("question")).filter(F.col("question") != "")
-    needles = q.select("question").distinct().select(
-        "question", F.explode_outer(query_variants(F.col("question"))).alias("needle")
-    )
+    needles = query_variants(q.select("question").distinct(), "question", "needle")
     needles = needles.withColumn(
         "tier", F.when(F.col("needle") == F.lower("question"), 1).otherwise(2)
     )

@@ -137,9 +137,7 @@ with p as ({_PHRASES}),
 select id, variant from v""",
 )
 def query_variants(t):
-    return _sql_rows(t, _PHRASES).select(
-        "id", F.explode_outer(tx.query_variants(F.col("q"))).alias("variant")
-    )
+    return tx.query_variants(_sql_rows(t, _PHRASES).select("id", "q"), "q").select("id", "variant")
 
 
 _FULL_ROWS = _values((w, s[0]) for w, s in _FORMS.items())
