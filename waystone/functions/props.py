@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 from .text import trim_ws
 
 
+def members(props: Column) -> Column:
+    """Variant object -> map of its members, read once for many lookups."""
+    return F.try_variant_get(props, "$", "map<string,variant>")
+
+
 def _plain(number: Column) -> Column:
     """A fraction without trailing zeros; very large or small values as Spark writes them."""
     digits = F.regexp_replace(number.cast("decimal(38,15)").cast("string"), r"\.?0+\z", "")
@@ -15,32 +20,46 @@ def _plain(number: Column) -> Column:
     return F.when(small, digits).otherwise(number.cast("string"))
 
 
-def first_prop(props: Column, names: tuple[str, ...], mode: str = "dataset") -> Column:
-    """First value present among ``names``, as text; '' if none.
+_NUMERIC = "^(BIGINT|DECIMAL|DOUBLE|FLOAT)"
+
 
-    props: a variant column. A present empty text wins; JSON null counts as
-    absent. mode "dataset": whole numbers without a fraction, other numbers and
-    booleans as written. mode "county": numbers rounded to whole ones, booleans
-    and nested values skipped.
+def pick_prop(found: Column, names: tuple[str, ...], mode: str = "dataset") -> Column:
+    """First usable value among ``names`` as a variant, NULL if none.
+
+    found: the map made by ``members``. JSON null counts as absent; mode
+    "county" also skips booleans and nested values.
     """
-    found = None
-    for name in names:
-        path = f"$['{name}']"
-        kind = F.schema_of_variant(F.try_variant_get(props, path, "variant"))
-        text = F.try_variant_get(props, path, "string")
-        number = F.try_variant_get(props, path, "double")
-        numeric = kind.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)")
+
+    def usable(v: Column) -> Column:
+        present = v.isNotNull() & ~F.is_variant_null(v)
         if mode == "county":
-            value = F.when(kind == "STRING", trim_ws(text)).when(
-                numeric, F.bround(number, 0).cast("decimal(38,0)").cast("string")
-            )
-        else:
-            whole = number == F.floor(number)
-            value = (
-                F.when(kind == "STRING", trim_ws(text))
-                .when(numeric & whole, number.cast("decimal(38,0)").cast("string"))
-                .when(numeric, _plain(number))
-                .when(kind != "VOID", text)
-            )
-        found = value if found is None else F.coalesce(found, value)
-    return F.coalesce(found, F.lit(""))
+            return present & F.schema_of_variant(v).rlike(f"{_NUMERIC}|^STRING$")
+        return present
+
+    listed = F.array(*(F.try_element_at(found, F.lit(name)) for name in names))
+    return F.try_element_at(F.filter(listed, usable), F.lit(1))
+
+
+def prop_text(value: Column, mode: str = "dataset") -> Column:
+    """Picked value -> text, '' for none.
+
+    mode "dataset": whole numbers without a fraction, other numbers and
+    booleans as written. mode "county": numbers rounded to whole ones.
+    """
+    text = F.try_variant_get(value, "$", "string")
+    kind = F.schema_of_variant(value)
+    number = F.try_variant_get(value, "$", "double")
+    if mode == "county":
+        shown = F.bround(number, 0).cast("decimal(38,0)").cast("string")
+    else:
+        whole = number == F.floor(number)
+        shown = F.when(whole, number.cast("decimal(38,0)").cast("string")).otherwise(_plain(number))
+    return F.coalesce(
+        F.when(kind == "STRING", trim_ws(text)).when(kind.rlike(_NUMERIC), shown).otherwise(text),
+        F.lit(""),
+    )
+
+
+def first_prop(found: Column, names: tuple[str, ...], mode: str = "dataset") -> Column:
+    """First value present among ``names``, as text; a present empty text wins."""
+    return prop_text(pick_prop(found, names, mode), mode)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import geo
-from ..functions.props import first_prop
+from ..functions.props import first_prop, members
 from ..functions.text import address_hash, county_from_path, county_key
 from ..operators import spatial as sp
 from ..session import scratch_path
@@ -564,7 +564,7 @@ def props(t):
         .otherwise("")
     )
     doc = F.concat(F.lit("{"), first, F.lit('"B":" '), "p_name", F.lit(' "}'))
-    rows = t.part.select(F.col("p_partkey").alias("id"), F.try_parse_json(doc).alias("p"))
+    rows = t.part.select(F.col("p_partkey").alias("id"), members(F.try_parse_json(doc)).alias("p"))
     return rows.select(
         "id", first_prop(F.col("p"), ("A", "B"), "dataset").alias("dataset"),
         first_prop(F.col("p"), ("A", "B"), "county").alias("county"),

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geo
-from ..functions.props import first_prop
+from ..functions.props import members, pick_prop, prop_text
 from ..functions.text import address_hash, county_from_path, title_words, trim_ws
 
 # Fixed values. Column order of the input files.
@@ -167,17 +167,19 @@ def read_city_csv(spark: SparkSession, path: str, multi_line: bool = True) -> Da
 # ------------------------------------------------------------ GeoJSON
 
 
-def _features(df: DataFrame, properties: str) -> DataFrame:
-    schema = (
+def _schema(properties: str, coordinates: str) -> str:
+    return (
         f"type string, properties {properties}, "
-        "geometry struct<type: string, coordinates: string>"
+        f"geometry struct<type: string, coordinates: {coordinates}>"
     )
-    feature = F.from_json(F.concat(F.lit('{"type":"Feature"'), F.col("value")), schema)
-    return df.withColumn("feature", feature)
+
+
+# Free-form members stay variants; they are read by name later.
+FREE = ("variant", "variant")
 
 
 def read_features(
-    spark: SparkSession, path: str | list[str], properties: str = "string",
+    spark: SparkSession, path: str | list[str], types: tuple[str, str] = FREE,
     whole_files: bool = False,
 ) -> DataFrame:
     """Features of FeatureCollection or newline-delimited files, plain or gzip.
@@ -187,24 +189,20 @@ def read_features(
     rest of a piece after the feature's closing brace is ignored. This needs
     ``type`` to be a feature's first member; ``whole_files=True`` reads any
     order, one file per task. A piece that is no feature has NULL properties
-    and geometry.
+    and geometry. ``types``: column types of properties and coordinates.
     """
-    where = [
-        F.col("_metadata.file_path").alias("_file"),
-        F.col("_metadata.file_block_start").alias("_start"),
-    ]
     if whole_files:
-        schema = (
-            f"features array<struct<type: string, properties: {properties_type(properties)}, "
-            "geometry: struct<type: string, coordinates: string>>>"
+        text = spark.read.option("wholetext", True).text(path).select(
+            "value",
+            F.col("_metadata.file_path").alias("_file"),
+            F.col("_metadata.file_block_start").alias("_start"),
         )
-        text = spark.read.option("wholetext", True).text(path).select("value", *where)
+        schema = f"features array<struct<{_schema(*types)}>>"
         listed = text.select(F.from_json("value", schema).alias("doc"), "_file", "_start")
         return listed.select(
             F.explode("doc.features").alias("feature"), "_file", "_start"
         ).select("feature", "_file", _source_order())
-    pieces = feature_pieces(spark.read, path)
-    return parse_pieces(pieces, properties)
+    return parse_pieces(feature_pieces(spark.read, path), types)
 
 
 def feature_pieces(reader, path: str | list[str]) -> DataFrame:
@@ -216,22 +214,21 @@ def feature_pieces(reader, path: str | list[str]) -> DataFrame:
     )
 
 
-def parse_pieces(pieces: DataFrame, properties: str = "string") -> DataFrame:
+def parse_pieces(pieces: DataFrame, types: tuple[str, str] = FREE) -> DataFrame:
     ordered = pieces.select("value", "_file", _source_order())
     # The piece before the first mark opens the file and holds no feature.
     rest = ordered.filter(~F.ltrim("value").startswith("{"))
-    return _features(rest, properties_type(properties)).select("feature", "_file", "source_order")
-
-
-def properties_type(properties: str) -> str:
-    return properties if properties == "string" else f"struct<{properties}>"
+    text = F.concat(F.lit('{"type":"Feature"'), F.col("value"))
+    # Through a generator, so that a piece is parsed once for all later uses.
+    parsed = F.explode(F.array(F.from_json(text, _schema(*types))))
+    return rest.select(parsed.alias("feature"), "_file", "source_order")
 
 
 def read_state_geojson(
     spark: SparkSession, path: str, whole_files: bool = False
 ) -> DataFrame:
     """State features -> one row per state, first wins; polygons become multipolygons."""
-    rows = read_features(spark, path, STATE_PROPS, whole_files)
+    rows = read_features(spark, path, (f"struct<{STATE_PROPS}>", "string"), whole_files)
     p, g = "feature.properties", "feature.geometry"
 
     def degrees(c: str, kind: str) -> Column:
@@ -285,19 +282,28 @@ def address_rows(
     features: DataFrame, flavour: str, county: str | None = None, state: str | None = None
 ) -> DataFrame:
     """Features (see ``read_features``) -> address rows."""
-    spot = F.from_json(
-        F.when(F.col("feature.geometry.type") == "Point", F.col("feature.geometry.coordinates")),
-        "array<double>",
+    at = F.when(F.col("feature.geometry.type") == "Point", F.col("feature.geometry.coordinates"))
+    read = F.struct(
+        members(F.col("feature.properties")).alias("p"),
+        F.try_variant_get(at, "$[0]", "double").alias("longitude"),
+        F.try_variant_get(at, "$[1]", "double").alias("latitude"),
+    )
+    rows = features.select(F.explode(F.array(read)).alias("r"), "_file", "source_order")
+    rows = rows.select("r.*", "_file", "source_order").filter(
+        "longitude is not null and latitude is not null"
     )
-    rows = features.select(
-        F.try_parse_json("feature.properties").alias("p"), spot.alias("at"), "_file", "source_order"
-    ).filter(F.size("at") >= 2)
     table = DATASET_PROPS if flavour == "dataset" else COUNTY_PROPS
-    columns = {name: first_prop(F.col("p"), names, flavour) for name, names in table.items()}
+    # Pick, then format, each in its own projection: a picked value is read once.
+    picked = {name: pick_prop(F.col("p"), names, flavour) for name, names in table.items()}
+    rows = rows.select(
+        *(c.alias(n) for n, c in picked.items()), "latitude", "longitude", "_file", "source_order"
+    ).select(
+        *(prop_text(F.col(n), flavour).alias(n) for n in picked),
+        "latitude", "longitude", "_file", "source_order",
+    )
     # A generator keeps the admission filter from repeating the property reads.
-    fields = F.explode(F.array(F.struct(*(c.alias(n) for n, c in columns.items())))).alias("f")
     rows = rows.select(
-        fields, F.col("at")[1].alias("latitude"), F.col("at")[0].alias("longitude"), "_file",
+        F.explode(F.array(F.struct(*picked))).alias("f"), "latitude", "longitude", "_file",
         "source_order",
     ).select("f.*", "latitude", "longitude", "_file", "source_order")
     # The dataset layout of Spark's own writer puts the name on the folder.
