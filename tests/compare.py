@@ -71,11 +71,13 @@ def main() -> int:
 
     parser = argparse.ArgumentParser()
     parser.add_argument("--sf", default="0.01")
+    parser.add_argument("--partitions", default="8")
+    parser.add_argument("--zone", default="UTC")
     parser.add_argument("names", nargs="*")
     args = parser.parse_args()
     builder = SparkSession.builder.master("local[8]").config("spark.ui.enabled", "false")
-    builder = builder.config("spark.sql.shuffle.partitions", "8")
-    builder = builder.config("spark.sql.session.timeZone", "UTC")
+    builder = builder.config("spark.sql.shuffle.partitions", args.partitions)
+    builder = builder.config("spark.sql.session.timeZone", args.zone)
     spark = builder.config("spark.driver.memory", "12g").getOrCreate()
     spark.sparkContext.setLogLevel("OFF")
     sf_dir = f"/root/testdata/sf{args.sf}"

@@ -205,6 +205,20 @@ def test_wildcards_are_literal_unless_asked(spark):
     assert literal == [False, True, True] and live == [True, True, True]
 
 
+def test_wildcard_search(spark, addresses):
+    queries = spark.createDataFrame(
+        [(1, "m_in"), (2, "o%ley"), (3, "50% off"), (4, "%"), (5, "a\\b")], "qid long, q string")
+    rows = [r.asDict() for r in addresses.collect()]
+    found = se.search_addresses(queries, addresses, 500, wildcards=True).collect()
+    counts = {q: sum(r["qid"] == q for r in found) for q in range(1, 6)}
+
+    def holding(*parts):
+        return sum(any(p in r["street"].lower() for p in parts) for r in rows)
+
+    assert counts == {1: holding("main"), 2: holding("oakley"), 3: holding("50% off"),
+                      4: len(rows), 5: holding("a\\b")}
+
+
 def test_validation(spark):
     df = spark.createDataFrame([("45050", 5.0), ("4505", 5.0), ("45050", 0.0), (None, 5.0)],
                                "zip string, radius double")

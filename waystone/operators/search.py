@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geo
-from ..functions.text import county_key, strip_unit, words
+from ..functions.text import contains_text, county_key, strip_unit, words
 from .geocode import SEP, ranked_lists
 from .matching import containment_candidates
 from .topk import spread_join, top_k_per_query
@@ -137,9 +140,9 @@ def _given(name: str) -> Column:
     return F.col(name).isNotNull() & (F.col(name) != "")
 
 
-def _holds(field: str, asked: str) -> Column:
+def _holds(field: str, asked: str, wildcards: bool = False) -> Column:
     """Contains test that passes when nothing is asked."""
-    return ~_given(asked) | F.contains(F.lower(field), F.lower(asked))
+    return ~_given(asked) | contains_text(F.col(field), F.col(asked), wildcards)
 
 
 def _equals(field: Column, asked: Column) -> Column:
@@ -163,21 +166,32 @@ def _list(*names: str) -> Column:
     return F.array_compact(F.array(*(F.when(_given(n), F.lower(n)) for n in names)))
 
 
+def _literal(needles: Column, wildcards: bool) -> Column:
+    """What a match must hold: with wildcards, the texts between % and _."""
+    if not wildcards:
+        return needles
+    return F.flatten(F.transform(needles, lambda n: F.split(n, "[%_]")))
+
+
 def _haystack(*names: str) -> Column:
     return F.concat_ws("\n", *(F.lower(n) for n in names))
 
 
-def search_zips(queries: DataFrame, zips: DataFrame, k: int = 50, offset: int = 0) -> DataFrame:
+def search_zips(
+    queries: DataFrame, zips: DataFrame, k: int = 50, offset: int = 0, wildcards: bool = False
+) -> DataFrame:
     """queries (qid, city, state): city name contains, state equal; by city, ZIP."""
     q = _with(queries, {"city": "string", "state": "string"})
-    test = _holds("city_name", "q_city") & _equals(F.col("state_code"), F.col("q_state"))
+    test = _holds("city_name", "q_city", wildcards) & _equals(F.col("state_code"), F.col("q_state"))
     order = [F.col("city_name").asc_nulls_last(), F.col("zip_code")]
     return filtered_search(
-        q, zips, _haystack("city_name"), _list("q_city"), test, order, k, offset
+        q, zips, _haystack("city_name"), _literal(_list("q_city"), wildcards), test, order, k, offset
     )
 
 
-def search_cities(queries: DataFrame, cities: DataFrame, k: int = 10, offset: int = 0) -> DataFrame:
+def search_cities(
+    queries: DataFrame, cities: DataFrame, k: int = 10, offset: int = 0, wildcards: bool = False
+) -> DataFrame:
     """queries (qid, q, city, state, county, min_pop, lat, lng, radius_km).
 
     Ranked cities first, then by population; a two-letter state is an id.
@@ -193,76 +207,78 @@ def search_cities(queries: DataFrame, cities: DataFrame, k: int = 10, offset: in
     no_floor = F.coalesce("q_min_pop", F.lit(0)) <= 0
     km = geo.cosines_km(F.col("q_lat"), F.col("q_lng"), F.col("lat"), F.col("lng"))
     test = (
-        (~_given("q_q") | F.contains(F.lower("city_ascii"), F.lower("q_q"))
-         | F.contains(F.lower("city"), F.lower("q_q")))
-        & _holds("city_ascii", "q_city")
+        (_holds("city_ascii", "q_q", wildcards) | _holds("city", "q_q", wildcards))
+        & _holds("city_ascii", "q_city", wildcards)
         & (~_given("q_state") | by_id | ((F.length(state) != 2) & by_name))
-        & _holds("county_name", "q_county")
+        & _holds("county_name", "q_county", wildcards)
         & (no_floor | (F.col("population") >= F.col("q_min_pop")))
         & (F.col("q_lat").isNull() | F.col("q_radius_km").isNull() | (km <= F.col("q_radius_km")))
     )
     ranked = F.when(F.col("ranking") > 0, F.col("ranking")).otherwise(999999)
     order = [ranked, F.col("population").desc_nulls_last(), F.col("id")]
     hay = _haystack("city_ascii", "city", "county_name")
-    return filtered_search(
-        q, cities, hay, _list("q_q", "q_city", "q_county"), test, order, k, offset
-    )
+    needles = _literal(_list("q_q", "q_city", "q_county"), wildcards)
+    return filtered_search(q, cities, hay, needles, test, order, k, offset)
 
 
-def search_states(queries: DataFrame, states: DataFrame, k: int = 50, offset: int = 0) -> DataFrame:
+def search_states(
+    queries: DataFrame, states: DataFrame, k: int = 50, offset: int = 0, wildcards: bool = False
+) -> DataFrame:
     """queries (qid, name, abbr, region, division); by name."""
     q = _with(
         queries, {"name": "string", "abbr": "string", "region": "string", "division": "string"}
     )
     test = (
-        _holds("state_name", "q_name")
+        _holds("state_name", "q_name", wildcards)
         & _equals(F.upper("state_abbr"), F.upper("q_abbr"))
         & _equals(F.col("region"), F.col("q_region"))
         & _equals(F.col("division"), F.col("q_division"))
     )
     order = [F.col("state_name").asc_nulls_last(), F.col("id")]
     return filtered_search(
-        q, states, _haystack("state_name"), _list("q_name"), test, order, k, offset
+        q, states, _haystack("state_name"), _literal(_list("q_name"), wildcards), test, order, k,
+        offset,
     )
 
 
 def search_counties(
-    queries: DataFrame, counties: DataFrame, k: int = 100, offset: int = 0
+    queries: DataFrame, counties: DataFrame, k: int = 100, offset: int = 0, wildcards: bool = False
 ) -> DataFrame:
     """queries (qid, name, min_addresses, max_addresses); largest first."""
     q = _with(queries, {"name": "string", "min_addresses": "int", "max_addresses": "int"})
     low, high = F.coalesce("q_min_addresses", F.lit(0)), F.coalesce("q_max_addresses", F.lit(0))
     count = F.col("address_count")
-    test = _holds("county_name", "q_name") & ((low <= 0) | (count >= low)) & (
-        (high <= 0) | (count <= high)
-    )
+    named = _holds("county_name", "q_name", wildcards)
+    test = named & ((low <= 0) | (count >= low)) & ((high <= 0) | (count <= high))
     order = [count.desc_nulls_first(), F.col("county_name"), F.col("id")]
     return filtered_search(
-        q, counties, _haystack("county_name"), _list("q_name"), test, order, k, offset
+        q, counties, _haystack("county_name"), _literal(_list("q_name"), wildcards), test, order,
+        k, offset,
     )
 
 
 _FIELDS = ("full_address", "street", "house_number", "city", "postcode", "county")
 
 
-def relevance(tokens: Column) -> Column:
+def relevance(tokens: Column, wildcards: bool = False) -> Column:
     """Sum over the words of the weight of the best field that holds the word.
 
     Works on the lower-cased helper columns ``_full_address``, ``_street`` ...
     """
 
     def weight(word: Column) -> Column:
-        def holds(field: Column | str) -> Column:
-            return F.contains(field, word)
+        def holds(field: Column) -> Column:
+            return contains_text(field, word, True) if wildcards else F.contains(field, word)
 
+        house_line = F.concat("_house_number", F.lit(" "), "_street")
         return (
-            F.when(holds("_full_address"), 150)
-            .when(holds("_street"), 100)
-            .when(holds(F.concat("_house_number", F.lit(" "), "_street")), 90)
-            .when(holds("_house_number"), 80)
-            .when(holds("_city"), 60)
-            .when(holds("_postcode"), 50)
-            .when(holds("_county"), 30)
+            F.when(holds(F.col("_full_address")), 150)
+            .when(holds(F.col("_street")), 100)
+            .when(holds(house_line), 90)
+            .when(holds(F.col("_house_number")), 80)
+            .when(holds(F.col("_city")), 60)
+            .when(holds(F.col("_postcode")), 50)
+            .when(holds(F.col("_county")), 30)
             .otherwise(0)
         )
 
@@ -270,7 +286,8 @@ def relevance(tokens: Column) -> Column:
 
 
 def search_addresses(
-    queries: DataFrame, addresses: DataFrame, k: int = 50, offset: int = 0, totals: bool = True
+    queries: DataFrame, addresses: DataFrame, k: int = 50, offset: int = 0, totals: bool = True,
+    wildcards: bool = False,
 ) -> DataFrame:
     """queries (qid, q, county, city, postcode, street, lat, lng, radius_km).
 
@@ -286,11 +303,17 @@ def search_addresses(
         "q_words", words(F.lower(strip_unit(F.coalesce("q_q", F.lit("")))))
     ).drop("q_q")
     km = geo.haversine_km(*(F.col(c) for c in ("q_lat", "q_lng", "latitude", "longitude")))
+
+    def in_some_field(word: Column) -> Column:
+        if not wildcards:  # no word holds the line break between the fields
+            return F.contains(F.col("_hay"), word)
+        return reduce(or_, (contains_text(F.col(f"_{c}"), word, True) for c in _FIELDS))
+
     test = (
-        F.forall("q_words", lambda w: F.contains(F.col("_hay"), w))
-        & _holds("_county", "q_county")
-        & _holds("_city", "q_city")
-        & _holds("_street", "q_street")
+        F.forall("q_words", in_some_field)
+        & _holds("_county", "q_county", wildcards)
+        & _holds("_city", "q_city", wildcards)
+        & _holds("_street", "q_street", wildcards)
         & _equals(F.col("postcode"), F.col("q_postcode"))
         & (F.col("q_lat").isNull() | F.col("q_radius_km").isNull() | (km <= F.col("q_radius_km")))
     )
@@ -302,12 +325,12 @@ def search_addresses(
         *(F.col(c).asc_nulls_last() for c in ("county", "city", "street", "house_number")),
         F.col("id"),
     ]
-    needles = F.concat(
-        F.col("q_words"), _list("q_county", "q_city", "q_postcode", "q_street")
-    )
+    needles = F.concat(F.col("q_words"), _list("q_county", "q_city", "q_postcode", "q_street"))
+    needles = _literal(needles, wildcards)
     return filtered_search(
         q, addresses, F.concat_ws("\n", *(f"_{c}" for c in _FIELDS)), needles, test, order, k,
-        offset, {"relevance_score": relevance(F.col("q_words")), "distance_km": near}, totals,
+        offset, {"relevance_score": relevance(F.col("q_words"), wildcards), "distance_km": near},
+        totals,
         {f"_{c}": F.lower(c) for c in _FIELDS},
     )
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import full_address
+from ..operators.stage import stage
 from .files import read_address_geojson
 
 
@@ -30,9 +31,14 @@ def upsert(
 def insert_new(
     existing: DataFrame, incoming: DataFrame, keys: list[str], order: Column
 ) -> DataFrame:
-    """Rows to add: the first incoming row of every key that does not exist yet."""
+    """Rows to add: the first incoming row of every key that does not exist yet.
+
+    The table is first cut down to the keys that come in, so a small load does
+    not move a large table.
+    """
     first = _one_per_key(incoming, keys, order, last=False)
-    return first.join(existing.select(*keys), keys, "left_anti")
+    present = existing.select(*keys).join(first.select(*keys), keys, "left_semi")
+    return first.join(present, keys, "left_anti")
 
 
 def pending_datasets(manifest: DataFrame, registry: DataFrame) -> DataFrame:
@@ -74,7 +80,8 @@ def bulk_ingest(
     flavour: str = "dataset",
 ) -> tuple[DataFrame, DataFrame]:
     """Load many county files in one job -> (rows to add, report per file)."""
-    read = read_address_geojson(spark, paths, flavour, state=state)
+    # Parsed once, then read by the merge and by the report.
+    read = stage(read_address_geojson(spark, paths, flavour, state=state), "bulk-read")
     keys, order = ["hash"], F.col("source_order")
     if existing is None:
         existing = spark.createDataFrame([], "hash string")
