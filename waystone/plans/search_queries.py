@@ -412,3 +412,25 @@ def sort_keys(t):
     order = [ranked, F.col("population").desc_nulls_last(), F.col("id")]
     first = t.cities.withColumn("one", F.lit(1))
     return topk.top_k_per_query(first, ["one"], order, 40, "place").select("id", "place")
+
+
+@query(
+    "t05_nulls_last",
+    """
+with r as (select state_id, id, population, row_number() over (partition by state_id
+             order by population asc nulls last, id) as up,
+           row_number() over (partition by state_id order by population desc nulls first, id)
+             as down from cities)
+select state_id, id, cast(up as int) as up, cast(down as int) as down from r
+where up <= 5 or down <= 5""",
+    ("cities",),
+)
+def nulls_last(t):
+    rows = t.cities.select("state_id", "id", "population")
+    up = topk.top_k_per_query(
+        rows, ["state_id"], [F.col("population").asc_nulls_last(), F.col("id")], 1 << 30, "up"
+    )
+    down = topk.top_k_per_query(
+        up, ["state_id"], [F.col("population").desc_nulls_first(), F.col("id")], 1 << 30, "down"
+    )
+    return down.filter("up <= 5 or down <= 5").select("state_id", "id", "up", "down")

@@ -501,6 +501,22 @@ def wkt(t):
     )
 
 
+@query(
+    "g10_geometry_columns",
+    """
+select id, concat('POINT(', x0, ' ', y0, ')') as point, x0 as min_lng, y0 as min_lat,
+       x0 + w as max_lng, y0 + h as max_lat, 5 as edges from counties""",
+    ("counties",),
+)
+def geometry_columns(t):
+    x, y, w, h = (F.col(c) for c in ("x0", "y0", "w", "h"))
+    corners = [(x, y), (x + w, y), (x + w, y + h), (x + w / 2, y + h / 2), (x, y + h), (x, y)]
+    ring = F.array(*(F.array(a, b) for a, b in corners))
+    return t.counties.select("id", geo.point_wkt(x, y).alias("point"), ring.alias("ring")).select(
+        "id", "point", F.expr("ring").alias("r"), F.explode(F.array(geo.bounds(F.col("ring")))).alias("b")
+    ).select("id", "point", "b.*", F.size(geo.ring_edges(F.col("r"))).alias("edges"))
+
+
 @query(
     "s17_append_usage",
     """

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import lexicon as lx
+from ..functions import sql
 from ..functions import text as tx
 from ..functions.parse import parse_addresses
 from ..operators import geocode as gc
@@ -72,6 +73,23 @@ def full_address(t):
     return t.addresses.select("id", line.alias("full_address"))
 
 
+@query(
+    "p08_sql_functions",
+    """
+select id, full_address, concat(house_number, ' ', street) as stripped, 'addresses' as endpoint
+from address_lines""",
+    ("address_lines",),
+)
+def sql_functions(t):
+    sql.register(t.spark)
+    t.addresses.createOrReplaceTempView("addresses")
+    return t.spark.sql("""
+        select id, full_address(house_number, street, unit, city, region, postcode) as full_address,
+               strip_unit(concat(house_number, ' ', street, ', Apt 2B')) as stripped,
+               endpoint_of(concat('/api/v1/addresses/', id)) as endpoint
+        from addresses""")
+
+
 @query(
     "p09_full_address_plain",
     """

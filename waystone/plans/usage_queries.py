@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import has_permission, key_hash, key_preview, row_limit
 from ..operators import accounts as ac
+from ..operators import topk
 from ..operators import usage as us
 from .registry import query
 
@@ -346,6 +347,51 @@ def user_activity(t):
     )
 
 
+@query(
+    "j03_plan_limits",
+    """
+select u.id as user_id, coalesce(s.monthly_limit, case plan_type when 'starter' then 30000
+         when 'pro' then 500000 when 'enterprise' then -1 else 3000 end) as monthly_limit
+from users u left join (select user_id, monthly_limit from subscriptions where is_active) s
+  on u.id = s.user_id where not u.is_admin""",
+    ("users", "subscriptions"),
+)
+def plan_limits(t):
+    none = t.usage_records.filter("false")
+    rows = us.rate_limit_status(t.users.filter("not is_admin"), t.subscriptions, none, TODAY)
+    return rows.select("user_id", "monthly_limit")
+
+
+@query(
+    "j05_existence",
+    """
+select id, exists (select 1 from api_keys k where k.user_id = u.id and k.is_active) as has_key
+from users u""",
+    ("users", "api_keys"),
+)
+def existence(t):
+    active = t.api_keys.filter("is_active").select(F.col("user_id").alias("id"))
+    users = t.users.select("id")
+    yes = users.join(active, "id", "left_semi").withColumn("has_key", F.lit(True))
+    no = users.join(active, "id", "left_anti").withColumn("has_key", F.lit(False))
+    return yes.unionByName(no)
+
+
+@query(
+    "p18_call_cost",
+    """
+select r.id, round(case when billable then coalesce(cast(price_per_call as double), 0) else 0 end
+         / 100, 6) as cost
+from usage_records r left join subscriptions s on r.user_id = s.user_id""",
+    ("usage_records", "subscriptions"),
+)
+def call_cost(t):
+    price = t.subscriptions.select("user_id", "price_per_call")
+    rows = topk.spread_join(t.usage_records, price, ["user_id"], "id", "left")
+    cost = us.call_cost(F.col("billable").cast("int"), F.col("price_per_call"))
+    return rows.select("id", F.round(cost, 6).alias("cost"))
+
+
 @query(
     "f19_user_keys",
     """
