@@ -102,7 +102,8 @@ def _component_answers(questions: DataFrame, addresses: DataFrame, k: int) -> Da
         (street_tiers + 1).alias("zip_tier"),
         (street_tiers + has_zip.cast("int") + 1).alias("city_tier"),
     )
-    spelled = query_variants(asked.filter(has_street), "street", "spelling")
+    # Read by the matching (twice) and by the way back to the questions.
+    spelled = stage(query_variants(asked.filter(has_street), "street", "spelling"), "spellings")
 
     # Distinct street names per asked place, matched with the asked spellings.
     named = addresses.select(
@@ -172,21 +173,15 @@ def _component_answers(questions: DataFrame, addresses: DataFrame, k: int) -> Da
     )
 
 
-def _flat(answers: DataFrame, per_question: list[str]) -> DataFrame:
+def _flat(answers: DataFrame) -> DataFrame:
     """One row per question with its ranked answers as an array (at most k)."""
     return answers.groupBy("question").agg(
-        F.array_sort(F.collect_list(F.struct("rank", *per_question, "rec"))).alias("answers")
+        F.array_sort(F.collect_list(F.struct("rank", "tier", "rec"))).alias("answers")
     )
 
 
-def component_tiers(
-    queries: DataFrame, addresses: DataFrame, k: int = 50, parsed: str = "parsed"
-) -> DataFrame:
-    """Tiered search by address parts for every query.
-
-    queries: qid and a struct column ``parsed`` (see ``parse_addresses``).
-    Returns qid, tier, is_exact, rank and the address.
-    """
+def _by_parts(queries: DataFrame, addresses: DataFrame, k: int, parsed: str) -> DataFrame:
+    """qid -> array of tiered answers; ``numbered`` tells whether tier 1 is exact."""
     q = queries.select(
         "qid",
         F.col(f"{parsed}.house_number").alias("house"),
@@ -195,15 +190,28 @@ def component_tiers(
         F.col(f"{parsed}.zip").alias("zip"),
     ).withColumn("question", _key(*(F.col(c) for c in ("house", "street", "city", "zip"))))
     distinct = stage(q.drop("qid").distinct(), "questions")
-    answers = _flat(_component_answers(distinct, addresses, k), ["tier"])
-    exact_first = (F.col("house") != "") & (F.col("street") != "")
-    rows = spread_join(q, answers, ["question"], spread="qid").select(
-        "qid", exact_first.alias("_exact"), F.explode("answers").alias("a")
+    answers = _flat(_component_answers(distinct, addresses, k))
+    numbered = (F.col("house") != "") & (F.col("street") != "")
+    return spread_join(q, answers, ["question"], spread="qid").select(
+        "qid", numbered.alias("numbered"), "answers"
+    )
+
+
+def component_tiers(
+    queries: DataFrame, addresses: DataFrame, k: int = 50, parsed: str = "parsed"
+) -> DataFrame:
+    """Tiered search by address parts for every query.
+
+    queries: qid and a struct column ``parsed`` (see ``parse_addresses``).
+    Returns qid, tier, is_exact, rank and the address.
+    """
+    rows = _by_parts(queries, addresses, k, parsed).select(
+        "qid", "numbered", F.explode("answers").alias("a")
     )
     return rows.select(
         "qid",
         F.col("a.tier").alias("tier"),
-        (F.col("_exact") & (F.col("a.tier") == 1)).alias("is_exact"),
+        (F.col("numbered") & (F.col("a.tier") == 1)).alias("is_exact"),
         F.col("a.rank").alias("rank"),
         "a.rec.*",
     )
@@ -271,7 +279,7 @@ def search_with_fallback(
         F.col("question") != ""
     )
     answers = _text_answers(_needles(q.select("question").distinct()), addresses, k)
-    return _deliver(q, _flat(answers, ["tier"]))
+    return _deliver(q, _flat(answers))
 
 
 def search_variants(
@@ -283,7 +291,7 @@ def search_variants(
     needles = needles.withColumn(
         "tier", F.when(F.col("needle") == F.lower("question"), 1).otherwise(2)
     )
-    return _deliver(q, _flat(_text_answers(needles, addresses, k), ["tier"]))
+    return _deliver(q, _flat(_text_answers(needles, addresses, k)))
 
 
 def geocode(queries: DataFrame, addresses: DataFrame, k: int = 50, col: str = "q") -> DataFrame:
@@ -295,45 +303,36 @@ def geocode(queries: DataFrame, addresses: DataFrame, k: int = 50, col: str = "q
     texts = q.select("question").distinct()
     # Parsed once; also keeps filters on the parts out of the parsing columns.
     parsed = stage(parse_addresses(texts, "question"), "parsed")
-    by_parts = component_tiers(
-        parsed.withColumnRenamed("question", "qid"), addresses, k
-    ).withColumnRenamed("qid", "question")
+    by_parts = _by_parts(parsed.withColumnRenamed("question", "qid"), addresses, k, "parsed")
     # Read by two branches below: the answers and the texts left without any.
     by_parts = stage(
         by_parts.select(
-            "question",
+            F.col("qid").alias("question"),
             F.lit("component").alias("method"),
-            "rank",
-            "tier",
-            "is_exact",
-            _record(addresses.columns).alias("rec"),
+            F.when(F.col("numbered"), 1).otherwise(0).alias("exact_to"),
+            "answers",
         ),
         "geocode-parts",
     )
-    left = parsed.select("question").join(by_parts.select("question").distinct(), "question", "left_anti")
-    needles = _needles(left)
-    by_text = _text_answers(needles, addresses, k)
-    has_fallback = (street_only(F.col("question")) != "") & (
-        street_only(F.col("question")) != F.col("question")
-    )
-    by_text = by_text.select(
+    left = parsed.select("question").join(by_parts.select("question"), "question", "left_anti")
+    street_text = street_only(F.col("question"))
+    has_fallback = (street_text != "") & (street_text != F.col("question"))
+    by_text = _flat(_text_answers(_needles(left), addresses, k)).select(
         "question",
         F.lit("fulltext").alias("method"),
-        "rank",
-        "tier",
-        ((F.col("tier") == 1) | ~has_fallback).alias("is_exact"),
-        "rec",
+        # Without a street-only form every answer counts as exact.
+        F.when(has_fallback, 1).otherwise(2).alias("exact_to"),
+        "answers",
     )
-    answers = _flat(by_parts.unionByName(by_text), ["tier", "is_exact", "method"])
-    rows = spread_join(q, answers, ["question"], spread="qid").select(
-        "qid", "question", F.explode("answers").alias("a")
+    rows = spread_join(q, by_parts.unionByName(by_text), ["question"], spread="qid").select(
+        "qid", "question", "method", "exact_to", F.explode("answers").alias("a")
     )
     return rows.select(
         "qid",
         "question",
-        F.col("a.method").alias("search_method"),
+        F.col("method").alias("search_method"),
         F.col("a.tier").alias("tier"),
-        F.col("a.is_exact").alias("is_exact"),
+        (F.col("a.tier") <= F.col("exact_to")).alias("is_exact"),
         F.col("a.rank").alias("rank"),
         "a.rec.*",
     )
