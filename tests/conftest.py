@@ -13,11 +13,11 @@ from waystone.session import configure  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
-    builder = configure(SparkSession.builder.master("local[4]").appName("tests"))
+    builder = configure(SparkSession.builder.master("local[8]").appName("tests"))
     session = (
         builder.config("spark.ui.enabled", "false")
         .config("spark.sql.shuffle.partitions", "4")
-        .config("spark.driver.memory", "4g")
+        .config("spark.driver.memory", "8g")
         .config("spark.checkpoint.dir", str(tmp_path_factory.mktemp("shared")))
         .getOrCreate()
     )

@@ -417,20 +417,22 @@ def sort_keys(t):
 @query(
     "t05_nulls_last",
     """
-with r as (select state_id, id, population, row_number() over (partition by state_id
+with r as (select state_id, id, row_number() over (partition by state_id
              order by population asc nulls last, id) as up,
            row_number() over (partition by state_id order by population desc nulls first, id)
              as down from cities)
-select state_id, id, cast(up as int) as up, cast(down as int) as down from r
-where up <= 5 or down <= 5""",
+select 'up' as side, state_id, id, cast(up as int) as rank from r where up <= 5
+union all
+select 'down', state_id, id, cast(down as int) from r where down <= 5""",
     ("cities",),
 )
 def nulls_last(t):
     rows = t.cities.select("state_id", "id", "population")
-    up = topk.top_k_per_query(
-        rows, ["state_id"], [F.col("population").asc_nulls_last(), F.col("id")], 1 << 30, "up"
-    )
-    down = topk.top_k_per_query(
-        up, ["state_id"], [F.col("population").desc_nulls_first(), F.col("id")], 1 << 30, "down"
-    )
-    return down.filter("up <= 5 or down <= 5").select("state_id", "id", "up", "down")
+    number = F.col("population")
+    orders = {"up": number.asc_nulls_last(), "down": number.desc_nulls_first()}
+    parts = [
+        topk.top_k_per_query(rows, ["state_id"], [order, F.col("id")], 5)
+        .select(F.lit(side).alias("side"), "state_id", "id", "rank")
+        for side, order in orders.items()
+    ]
+    return parts[0].unionByName(parts[1])
