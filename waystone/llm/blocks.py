@@ -22,9 +22,9 @@ from ..operators.stage import stage
 from .batches import SLICE_BYTES, byte_lengths, slices, texts_of
 
 #: UTF-8 bytes of text in a block.
-BLOCK_BYTES = 3 << 20
+BLOCK_BYTES = 2 << 20
 #: What a value range may hold, in bytes of its values.
-RANGE_BYTES = 16 << 20
+RANGE_BYTES = 8 << 20
 
 SCHEMA = "block long, ids array<long>, sizes array<long>, n_bytes long, z binary"
 
@@ -108,9 +108,9 @@ def arrow_schema(ddl: str) -> pa.Schema:
     return to_arrow_schema(StructType.fromDDL(ddl))
 
 
-def squeeze(values: np.ndarray) -> bytes:
+def squeeze(values: np.ndarray, level: int = 1) -> bytes:
     """Numbers as compressed bytes."""
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(values).tobytes())
+    return zstandard.ZstdCompressor(level=level).compress(np.ascontiguousarray(values).tobytes())
 
 
 def spread(data: bytes, kind) -> np.ndarray:

@@ -221,10 +221,14 @@ def induce(text, rising, seeds, seed_lcp, folder: str, cap: int, tag: str, held:
 
 def rising_places(text: np.ndarray) -> np.ndarray:
     """Whether the suffix at each place is smaller than the next one; the last is not."""
-    step = np.zeros(len(text), np.int8)
-    step[:-1] = np.sign(text[1:].astype(np.int64) - text[:-1])
+    n = len(text)
+    kind = np.int32 if n < 1 << 31 else np.int64
+    step = np.zeros(n, np.int8)
+    step[:-1] = text[1:] > text[:-1]
+    step[:-1] -= text[1:] < text[:-1]
     step[-1] = -1
-    place = np.where(step != 0, np.arange(len(text)), len(text))
+    place = np.arange(n, dtype=kind)
+    place[step == 0] = n
     following = np.minimum.accumulate(place[::-1])[::-1]
     return step[following] > 0
 
@@ -296,7 +300,7 @@ def sorted_seeds(text, rising, places, folder: str, cap: int, level: int, held:
     lcp[1:][symbol[1:] != symbol[:-1]] = 0
     is_seed = np.zeros(len(text), bool)
     is_seed[places] = True
-    name = np.zeros(len(text), np.int64)
+    name = np.zeros(len(text), np.int32 if len(text) < 1 << 31 else np.int64)
     count, least = 0, SAME
     # names by falling order: a new one wherever the sweep's common prefix is finite
     for records in induce(text, rising, first, lcp, folder, 60_000, f"name{level}", held):

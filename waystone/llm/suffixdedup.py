@@ -22,6 +22,7 @@ import tempfile
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -97,6 +98,17 @@ def listed_tags(runs: Stretches, ranges: int):
     return np.unique((into << 32) | tag, return_inverse=True)
 
 
+def byte_planes(rising: np.ndarray) -> np.ndarray:
+    """Steps between sorted numbers, byte by byte, so that their empty high bytes lie together."""
+    steps = np.diff(rising, prepend=np.uint32(0)).astype("<u4")
+    return np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 4).T)
+
+
+def from_planes(planes: np.ndarray) -> np.ndarray:
+    steps = np.ascontiguousarray(planes.reshape(4, -1).T).view("<u4").ravel()
+    return np.cumsum(steps, dtype=np.uint32)
+
+
 def anchor_lists(blocks: DataFrame, ranges: int) -> DataFrame:
     """Per value range and block: its tags, and in how many of the block's documents each is."""
 
@@ -116,8 +128,8 @@ def anchor_lists(blocks: DataFrame, ranges: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(into[starts]), pa.array([block.number] * len(spans), pa.int64()),
-                    pa.array([tags[a:b].tobytes() for a, b in spans], pa.binary()),
-                    pa.array([docs[a:b].tobytes() for a, b in spans], pa.binary()),
+                    pa.array([squeeze(byte_planes(tags[a:b])) for a, b in spans], pa.binary()),
+                    pa.array([squeeze(docs[a:b]) for a, b in spans], pa.binary()),
                 ],
                 names=["part", "block", "tags", "docs"],
             )
@@ -132,9 +144,9 @@ def anchor_answers(lists: DataFrame, ranges: int) -> DataFrame:
         for table in whole_groups(batches, ["part"]):
             part = table["part"].to_numpy()
             for a, b in _spans(part):
-                tags = [np.frombuffer(x, "<u4") for x in table["tags"][a:b].to_pylist()]
+                tags = [from_planes(spread(x, np.uint8)) for x in table["tags"][a:b].to_pylist()]
                 docs = np.concatenate(
-                    [np.frombuffer(x, np.uint8) for x in table["docs"][a:b].to_pylist()]
+                    [spread(x, np.uint8) for x in table["docs"][a:b].to_pylist()]
                 )
                 sizes = [len(t) for t in tags]
                 _, place = np.unique(np.concatenate(tags), return_inverse=True)
@@ -146,11 +158,11 @@ def anchor_answers(lists: DataFrame, ranges: int) -> DataFrame:
                         table["block"][a:b].combine_chunks(), table["part"][a:b].combine_chunks(),
                         pa.array([squeeze(flag[e - n : e]) for e, n in zip(ends, sizes, strict=True)]),
                     ],
-                    names=["block", "part", "flags"],
+                    names=["block", "part", "a"],
                 )
 
     dealt = lists.repartition(ranges, "part").sortWithinPartitions("part", "block")
-    return dealt.mapInArrow(run, "block long, part long, flags binary")
+    return dealt.mapInArrow(run, "block long, part long, a binary")
 
 
 def _spans(keys: np.ndarray) -> list[tuple[int, int]]:
@@ -165,7 +177,7 @@ class Pieces:
         runs = Stretches(block)
         values, place = listed_tags(runs, ranges)
         order = np.argsort(answers["part"].to_numpy(), kind="stable")
-        parts = answers["flags"].take(pa.array(order)).to_pylist()
+        parts = answers["a"].take(pa.array(order)).to_pylist()
         flags = np.concatenate([spread(p, np.uint8) for p in parts]) if parts else np.zeros(0, np.uint8)
         if len(flags) != len(values):
             raise ValueError(f"block {block.number} lost answers")
@@ -183,48 +195,48 @@ class Pieces:
             size = np.concatenate([size, np.ones(len(single), np.int64)])
             route = np.concatenate([route, byte_hashes(block.data, WINDOW)[single]])
         self.start, self.size = start, size
-        self.shard = (mix(route) % np.uint64(shards)).astype(np.int64)
-
-    def contents(self, block: Block) -> tuple[pa.Array, np.ndarray]:
-        """Distinct contents, and the number of each piece's."""
-        lengths = self.size + WINDOW - 1
+        lengths = size + WINDOW - 1
         bounds = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
-        data = block.data[ragged(self.start, lengths)]
+        data = block.data[ragged(start, lengths)]
         listed = pa.Array.from_buffers(
             pa.large_binary(), len(lengths), [None, pa.py_buffer(bounds), pa.py_buffer(data)]
         )
         coded = listed.dictionary_encode()
-        return coded.dictionary, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        code = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        shard = np.empty(len(coded.dictionary), np.int64)
+        shard[code] = (mix(route) % np.uint64(shards)).astype(np.int64)
+        # distinct contents by shard, in an order that every run finds again
+        order = np.argsort(shard, kind="stable")
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        self.contents, self.shard = coded.dictionary.take(pa.array(order)), shard[order]
+        self.code = rank[code]
 
 
 PIECES = "shard long, block long, ids binary, sizes binary, data binary"
 
 
+def own_ids(block: Block, at: np.ndarray) -> np.ndarray:
+    """Ids of the documents that places of a block belong to."""
+    ids = np.array([NONE if i is None else i for i in block.ids], np.int64)
+    return ids[np.searchsorted(block.bounds, at, "right") - 1]
+
+
 def cut_pieces(block: Block, answers: pa.Table, ranges: int, shards: int) -> list:
-    """Rows for the shards, and one (shard -1) that says where the block's pieces are."""
+    """Rows for the shards: distinct contents with the smallest id that has each."""
     pieces = Pieces(block, answers, ranges, shards)
     if not len(pieces.start):
         return []
-    contents, code = pieces.contents(block)
-    shard = np.empty(len(contents), np.int64)
-    shard[code] = pieces.shard
-    doc = np.searchsorted(block.bounds, pieces.start, "right") - 1
-    own = np.array([NONE if i is None else i for i in block.ids], np.int64)[doc]
-    least = np.full(len(contents), NONE)
-    np.minimum.at(least, code, own)
-    order = np.argsort(shard, kind="stable")
-    rank = np.empty(len(order), np.int64)
-    rank[order] = np.arange(len(order))
-    rows = {"shard": [-1], "block": [block.number], "ids": [squeeze(least[order])],
-            "sizes": [squeeze(np.stack([pieces.start, pieces.size, rank[code]], 1))], "data": [b""]}
-    for a, b in _spans(shard[order]):
-        part = contents.take(pa.array(order[a:b]))
-        raw = part.to_pylist()
-        rows["shard"].append(int(shard[order[a]]))
+    least = np.full(len(pieces.contents), NONE)
+    np.minimum.at(least, pieces.code, own_ids(block, pieces.start))
+    rows = {"shard": [], "block": [], "ids": [], "sizes": [], "data": []}
+    for a, b in _spans(pieces.shard):
+        raw = pieces.contents.slice(a, b - a).to_pylist()
+        rows["shard"].append(int(pieces.shard[a]))
         rows["block"].append(block.number)
-        rows["ids"].append(squeeze(least[order[a:b]]))
+        rows["ids"].append(squeeze(least[a:b]))
         rows["sizes"].append(squeeze(np.array([len(r) for r in raw], np.int32)))
-        rows["data"].append(squeeze(np.frombuffer(b"".join(raw), np.uint8)))
+        rows["data"].append(squeeze(np.frombuffer(b"".join(raw), np.uint8), 4))
     types = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
     return [pa.RecordBatch.from_arrays(
         [pa.array(v, t) for v, t in zip(rows.values(), types, strict=True)], names=list(rows)
@@ -247,7 +259,7 @@ def least_ids(sizes: np.ndarray, ids: np.ndarray, data: np.ndarray, folder: str)
         length = int(some.sum())
         text[ragged(bounds[start : start + len(some)], some)] = data[at : at + length] + 1
         at += length
-    number = np.full(total, -1, np.int64)  # window at each place of the text
+    number = np.full(total, -1, np.int32 if total < 1 << 31 else np.int64)  # window at each place
     places = ragged(bounds[:-1], windows)
     number[places] = np.arange(len(places))
     of = np.repeat(ids, windows)
@@ -293,17 +305,15 @@ def shard_answers(pieces: DataFrame, shards: int) -> DataFrame:
             for a, b in _spans(table["shard"].to_numpy()):
                 yield _answer_shard(table.slice(a, b - a))
 
-    dealt = pieces.filter("shard >= 0").repartition(shards, "shard")
-    return dealt.sortWithinPartitions("shard", "block").mapInArrow(
-        run, "block long, shard long, counts binary, lengths binary, ids binary"
-    )
+    dealt = pieces.repartition(shards, "shard").sortWithinPartitions("shard", "block")
+    return dealt.mapInArrow(run, "block long, part long, a binary, b binary, c binary")
 
 
 def _answer_shard(table: pa.Table) -> pa.RecordBatch:
     sizes = [spread(x, np.int32).astype(np.int64) for x in table["sizes"].to_pylist()]
     ids = [spread(x, np.int64) for x in table["ids"].to_pylist()]
     data = np.concatenate([spread(x, np.uint8) for x in table["data"].to_pylist()])
-    of_block = np.repeat(np.arange(len(sizes)), [len(s) for s in sizes])
+    ends_of = np.concatenate([[0], np.cumsum([len(s) for s in sizes])]).tolist()
     size, own = np.concatenate(sizes), np.concatenate(ids)
     bounds = np.concatenate([[0], np.cumsum(size)])
     listed = pa.Array.from_buffers(
@@ -328,7 +338,7 @@ def _answer_shard(table: pa.Table) -> pa.RecordBatch:
     n_runs = np.diff(run_bounds)
     counts, lengths, found = [], [], []
     for k in range(len(sizes)):
-        mine = code[of_block == k]
+        mine = code[ends_of[k] : ends_of[k + 1]]
         at = ragged(run_bounds[mine], n_runs[mine])
         counts.append(squeeze(n_runs[mine].astype(np.int32)))
         lengths.append(squeeze(run_size[at].astype(np.int32)))
@@ -338,40 +348,38 @@ def _answer_shard(table: pa.Table) -> pa.RecordBatch:
             table["block"].combine_chunks(), table["shard"].combine_chunks(),
             pa.array(counts, pa.binary()), pa.array(lengths, pa.binary()), pa.array(found, pa.binary()),
         ],
-        names=["block", "shard", "counts", "lengths", "ids"],
+        names=["block", "part", "a", "b", "c"],
     )
 
 
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
-def removed_bytes(block: Block, answers: pa.Table) -> np.ndarray:
-    """Which bytes of a block go."""
-    n = len(block.data)
-    mark = np.zeros(n + 1, np.int64)
-    rows = answers.sort_by("shard").to_pylist()
-    if rows and rows[0]["shard"] == -1:
-        start, size, code = spread(rows[0]["lengths"], np.int64).reshape(-1, 3).T
-        counts = np.concatenate([spread(r["counts"], np.int32) for r in rows[1:]]).astype(np.int64)
-        lengths = np.concatenate([spread(r["lengths"], np.int32) for r in rows[1:]]).astype(np.int64)
-        least = np.concatenate([spread(r["ids"], np.int64) for r in rows[1:]])
-        if len(counts) != code.max() + 1:
+def removed_bytes(block: Block, answers: pa.Table, ranges: int, shards: int) -> np.ndarray:
+    """Which bytes of a block go; ``answers`` hold the anchors' flags and the shards' runs."""
+    mark = np.zeros(len(block.data) + 1, np.int32)
+    from_shards = answers["b"].is_valid()
+    pieces = Pieces(block, answers.filter(pc.invert(from_shards)), ranges, shards)
+    rows = answers.filter(from_shards).sort_by("part").to_pylist()
+    if len(pieces.start):
+        counts = np.concatenate([spread(r["a"], np.int32) for r in rows]).astype(np.int64)
+        lengths = np.concatenate([spread(r["b"], np.int32) for r in rows]).astype(np.int64)
+        least = np.concatenate([spread(r["c"], np.int64) for r in rows])
+        if len(counts) != len(pieces.contents):
             raise ValueError(f"block {block.number} lost answers")
         bounds = np.concatenate([[0], np.cumsum(counts)])
         before = np.concatenate([[0], np.cumsum(lengths)])
+        code = pieces.code
         at = ragged(bounds[code], counts[code])  # runs of every piece
         piece = np.repeat(np.arange(len(code)), counts[code])
-        first = start[piece] + before[at] - before[bounds[code[piece]]]
-        doc = np.searchsorted(block.bounds, first, "right") - 1
-        own = np.array([NONE if i is None else i for i in block.ids], np.int64)[doc]
-        gone = least[at] < own
+        first = pieces.start[piece] + before[at] - before[bounds[code[piece]]]
+        gone = least[at] < own_ids(block, first)
         np.add.at(mark, first[gone], 1)
         np.add.at(mark, first[gone] + lengths[at][gone] + WINDOW - 1, -1)
     return np.cumsum(mark[:-1]) > 0
 
 
-def _results(block: Block, answers: pa.Table, with_text: bool, carry: list) -> list:
-    gone = removed_bytes(block, answers)
+def _results(block: Block, gone: np.ndarray, with_text: bool, carry: list) -> list:
     total = np.concatenate([[0], np.cumsum(gone)])
     n_removed = np.diff(total[block.bounds])
     edge = gone.copy()
@@ -412,20 +420,21 @@ def remove_repeats(
     blocks = stored_blocks(docs, carry)
     ranges = range_count(blocks, 0.3)
     shards = range_count(blocks, 0.75)
-    flags = anchor_answers(anchor_lists(blocks, ranges), ranges)
+    flags = stage(anchor_answers(anchor_lists(blocks, ranges), ranges), "flags")
     pieces = with_answers(
         blocks, flags, lambda block, table: cut_pieces(block, table, ranges, shards), PIECES
     )
-    pieces = stage(pieces, "pieces")
-    where = pieces.filter("shard = -1").select(
-        "block", "shard", F.lit(None).cast("binary").alias("counts"),
-        F.col("sizes").alias("lengths"), "ids",
+    # the pieces themselves only travel to their shard; blocks cut them again for the answers
+    none = F.lit(None).cast("binary")
+    answers = shard_answers(pieces, shards).union(
+        flags.select("block", "part", "a", none.alias("b"), none.alias("c"))
     )
-    answers = shard_answers(pieces, shards).union(where)
     types = dict(docs.dtypes)
     schema = RESULT + (", kept_text string" if with_text else "")
     schema += "".join(f", `{c}` {types[c]}" for c in carry)
     kinds = [(f.name, f.type) for f in arrow_schema(schema) if f.name in carry]
-    return with_answers(
-        blocks, answers, lambda block, table: _results(block, table, with_text, kinds), schema
-    )
+
+    def finish(block: Block, table: pa.Table) -> list:
+        return _results(block, removed_bytes(block, table, ranges, shards), with_text, kinds)
+
+    return with_answers(blocks, answers, finish, schema)
