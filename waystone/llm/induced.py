@@ -24,7 +24,8 @@ CHUNK = 1 << 18
 HELD = 1 << 21
 #: Alphabets up to this size are swept; larger ones are refined by ranks.
 SWEPT = 2048
-RECORD = np.dtype([("at", "<i8"), ("lcp", "<u2")])
+#: a text has fewer than 2^31 symbols; the spare bytes keep the fields aligned
+RECORD = np.dtype([("at", "<i4"), ("lcp", "<u2"), ("spare", "<u2")])
 
 
 class SymbolQueue:
@@ -97,13 +98,15 @@ class SymbolQueue:
 def range_minima(values: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
     """min(values[first..last]) of every pair, ends included, from a table of powers of two."""
     out = np.empty(len(first), values.dtype)
-    level = np.frexp((last - first + 1).astype(np.float64))[1] - 1
+    level = (np.frexp((last - first + 1).astype(np.float32))[1] - 1).astype(np.int8)
     table, step = values, 1
     for k in range(int(level.max(initial=0)) + 1):
         if k:
             table = np.minimum(table[:-step], table[step:])
             step *= 2
         here = np.flatnonzero(level == k)
+        if not len(here):
+            continue
         out[here] = np.minimum(table[first[here]], table[last[here] - step + 1])
     return out
 
@@ -121,7 +124,7 @@ class Sweep:
         """Take the next tuples of the sweep in their order."""
         if not len(records):
             return
-        before, lcp = records["at"] - 1, records["lcp"]
+        before, lcp = records["at"] - 1, np.ascontiguousarray(records["lcp"])
         at = np.flatnonzero(before >= 0)
         at = at[self.rising[before[at]] == self.want]
         if len(at):
@@ -170,7 +173,7 @@ def induce(text, rising, seeds, seed_lcp, folder: str, cap: int, tag: str, held:
     rising_queue = SymbolQueue(folder, f"{tag}-low", held)
     done = SymbolQueue(folder, f"{tag}-falling", held)
     sweep = Sweep(text, rising, False, rising_queue, cap)
-    start = np.array([(n, 0)], RECORD)  # the empty suffix comes first
+    start = np.array([(n, 0, 0)], RECORD)  # the empty suffix comes first
     sweep.feed(start)
     counts = np.bincount(text, minlength=1)
     symbols = np.flatnonzero(counts).tolist()
@@ -222,7 +225,9 @@ def induce(text, rising, seeds, seed_lcp, folder: str, cap: int, tag: str, held:
 def rising_places(text: np.ndarray) -> np.ndarray:
     """Whether the suffix at each place is smaller than the next one; the last is not."""
     n = len(text)
-    kind = np.int32 if n < 1 << 31 else np.int64
+    if n >= 1 << 31:
+        raise ValueError("a text is limited to 2^31 symbols; use more shards")
+    kind = np.int32
     step = np.zeros(n, np.int8)
     step[:-1] = text[1:] > text[:-1]
     step[:-1] -= text[1:] < text[:-1]
@@ -300,7 +305,7 @@ def sorted_seeds(text, rising, places, folder: str, cap: int, level: int, held:
     lcp[1:][symbol[1:] != symbol[:-1]] = 0
     is_seed = np.zeros(len(text), bool)
     is_seed[places] = True
-    name = np.zeros(len(text), np.int32 if len(text) < 1 << 31 else np.int64)
+    name = np.zeros(len(text), np.int32)
     count, least = 0, SAME
     # names by falling order: a new one wherever the sweep's common prefix is finite
     for records in induce(text, rising, first, lcp, folder, 60_000, f"name{level}", held):

@@ -2,7 +2,7 @@
 
 A byte goes if it lies in a 50-byte string that also starts in a document with a smaller id.
 
-1. Anchors. Of the 16-byte grams of a 50-byte window the one with the smallest hash
+1. Anchors. Of the 24-byte grams of a 50-byte window the one with the smallest hash
    is its anchor; equal windows have equal anchors. Anchors that are in one document only
    rule out their windows, so that only the rest is sorted.
 2. Shards. A stretch of windows with one anchor is a piece; pieces go to the shard of their
@@ -32,7 +32,7 @@ from .blocks import Block, arrow_schema, range_count, spread, squeeze, stored_bl
 from .induced import suffixes
 
 WINDOW = 50
-GRAM = 16
+GRAM = 24
 #: Documents from which on an anchor's windows are dealt by their own hash.
 HOT = 1000
 #: Windows of a piece; longer stretches are cut.
@@ -170,6 +170,19 @@ def _spans(keys: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(starts, [*starts[1:], len(keys)], strict=True))
 
 
+def same_windows(data: np.ndarray, at: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """For every window: the number of the first equal one; bytes decide, not hashes."""
+    _, first, back = np.unique(hashes, return_index=True, return_inverse=True)
+    found = first[back]
+    word = data.astype(np.uint64)
+    for step in (1, 2, 4):
+        word = word[:-step] | word[step:] << np.uint64(8 * step)
+    equal = np.ones(len(at), bool)
+    for k in [*range(0, WINDOW - 8, 8), WINDOW - 8]:
+        equal &= word[at + k] == word[at[found] + k]
+    return np.where(equal, found, np.arange(len(at)))
+
+
 class Pieces:
     """What of a block is to be sorted: stretches, each with its shard."""
 
@@ -188,18 +201,27 @@ class Pieces:
         start = np.repeat(runs.start[warm], cuts) + index * PIECE
         size = np.minimum(np.repeat(runs.size[warm], cuts) - index * PIECE, PIECE)
         route = np.repeat(runs.anchor[warm], cuts)
+        lengths = size + WINDOW - 1
+        bounds = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
+        data = block.data[ragged(start, lengths)]
         hot = np.flatnonzero(flag == 2)
         if len(hot):
             single = ragged(runs.start[hot], runs.size[hot])
+            hashes = byte_hashes(block.data, WINDOW)[single]
+            first = same_windows(block.data, single, hashes)
+            once = np.unique(first)
+            # equal windows share the content of the first of them
+            bounds = np.append(bounds, bounds[-1] + WINDOW * np.arange(1, len(once) + 1))
+            data = np.append(data, block.data[ragged(single[once], np.full(len(once), WINDOW))])
+            again = len(start) + np.searchsorted(once, first)
             start = np.concatenate([start, single])
             size = np.concatenate([size, np.ones(len(single), np.int64)])
-            route = np.concatenate([route, byte_hashes(block.data, WINDOW)[single]])
+            route = np.concatenate([route, hashes[once]])
+        else:
+            again = np.zeros(0, np.int64)
         self.start, self.size = start, size
-        lengths = size + WINDOW - 1
-        bounds = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
-        data = block.data[ragged(start, lengths)]
         listed = pa.Array.from_buffers(
-            pa.large_binary(), len(lengths), [None, pa.py_buffer(bounds), pa.py_buffer(data)]
+            pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer(bounds), pa.py_buffer(data)]
         )
         coded = listed.dictionary_encode()
         code = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
@@ -210,7 +232,8 @@ class Pieces:
         rank = np.empty(len(order), np.int64)
         rank[order] = np.arange(len(order))
         self.contents, self.shard = coded.dictionary.take(pa.array(order)), shard[order]
-        self.code = rank[code]
+        all_codes = np.concatenate([code[: len(start) - len(again)], code[again]])
+        self.code = rank[all_codes]
 
 
 PIECES = "shard long, block long, ids binary, sizes binary, data binary"
@@ -419,7 +442,7 @@ def remove_repeats(
     """
     blocks = stored_blocks(docs, carry)
     ranges = range_count(blocks, 0.3)
-    shards = range_count(blocks, 0.75)
+    shards = range_count(blocks, 1.2)
     flags = stage(anchor_answers(anchor_lists(blocks, ranges), ranges), "flags")
     pieces = with_answers(
         blocks, flags, lambda block, table: cut_pieces(block, table, ranges, shards), PIECES
