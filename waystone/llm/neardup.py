@@ -1,6 +1,6 @@
 """Near-duplicate documents: MinHash bands, sequential Bayesian verification, exact sets.
 
-1. Every text gets 128 minimum hashes of its 5-word shingles: 32 bands of 4 rows propose
+1. Every text gets 384 minimum hashes of its 5-word shingles: 32 bands of 4 of them propose
    pairs (a pair of similarity 0.75 shares no band with probability 5e-6), one byte of each
    hash is kept to compare pairs.
 2. Texts with equal words are one class from then on; only classes are compared.
@@ -8,8 +8,8 @@
    probability of the wanted similarity falls below ``MISS``; the rest is verified on
    full shingle sets.
 4. A bucket never emits all its pairs: first everybody meets the bucket's smallest id; then,
-   only between classes that are still in different components, everybody meets the most
-   similar member of each other component; then whatever still differs and may be similar.
+   everybody meets the most similar class that is still in another component; at
+   last what is still in different components and plausible, each pair in one bucket only.
 """
 
 from __future__ import annotations
@@ -41,9 +41,11 @@ from .batches import (
 WORDS = 5
 PERCENT = 75
 BANDS, ROWS = 32, 4
+#: Minimum hashes of a text: the first fill the bands, a byte of each is compared.
+HASHES = 384
 STEP = 16
 #: Chance that the posterior test drops a pair that is similar enough.
-MISS = 1e-5
+MISS = 1e-4
 #: Members of a bucket that are compared with each other in one group.
 BLOCK = 1024
 CHAIN = np.uint64(0x9E3779B97F4A7C15)
@@ -51,7 +53,7 @@ CHAIN = np.uint64(0x9E3779B97F4A7C15)
 
 @lru_cache(maxsize=1)
 def hash_family() -> tuple[np.ndarray, np.ndarray]:
-    k = np.arange(BANDS * ROWS, dtype=np.uint64)
+    k = np.arange(HASHES, dtype=np.uint64)
     return mix(k * MIX_A + np.uint64(1)) | np.uint64(1), mix(k * MIX_B + np.uint64(2))
 
 
@@ -107,7 +109,7 @@ def signatures(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 
 def band_keys(sig: np.ndarray) -> np.ndarray:
-    rows = sig.reshape(len(sig), BANDS, ROWS).astype(np.uint64)
+    rows = sig[:, : BANDS * ROWS].reshape(len(sig), BANDS, ROWS).astype(np.uint64)
     key = np.broadcast_to(np.arange(BANDS, dtype=np.uint64), rows.shape[:2]) + np.uint64(7)
     for k in range(ROWS):
         key = mix(key * CHAIN + rows[:, :, k])
@@ -158,7 +160,7 @@ def least_matches(miss: float) -> list[int]:
     wanted = PERCENT / 100
     c = wanted + (1 - wanted) / 256
     out = []
-    for n in range(STEP, BANDS * ROWS + 1, STEP):
+    for n in range(STEP, HASHES + 1, STEP):
         total, m = 0.0, -1
         while total < miss:
             m += 1
@@ -180,7 +182,7 @@ def plausible(a: np.ndarray, b: np.ndarray, miss: float) -> tuple[np.ndarray, np
 
 def byte_rows(column: pa.Array) -> np.ndarray:
     raw = b"".join(column.to_pylist())
-    return np.frombuffer(raw, np.uint8).reshape(-1, BANDS * ROWS)
+    return np.frombuffer(raw, np.uint8).reshape(-1, HASHES)
 
 
 def likely_pairs(pairs: DataFrame, classes: DataFrame, miss: float) -> DataFrame:
@@ -289,13 +291,13 @@ def unresolved_pairs(
     """Plausible pairs between different components that share a bucket.
 
     Large buckets are compared in pairs of blocks, so a task holds two blocks at most.
-    With ``best_only``, every class names only its most similar partner in each component.
+    With ``best_only``, every class names only its most similar partner in the group.
     """
     tagged = members.select("band", "rep").join(parts, "rep")
     mixed = tagged.groupBy("band").agg(
         F.count("*").alias("n"), F.min("component").alias("low_c"), F.max("component").alias("high_c")
     ).filter("low_c < high_c").select("band", "n")
-    open_ones = tagged.join(mixed, "band").join(classes.select("rep", "low"), "rep")
+    open_ones = tagged.join(mixed, "band").join(classes.select("rep", "low", "bands"), "rep")
     blocks = F.ceil(F.col("n") / BLOCK)
     open_ones = open_ones.withColumn("_blocks", blocks).withColumn(
         "_own", F.pmod(F.xxhash64("rep"), F.col("_blocks"))
@@ -303,7 +305,7 @@ def unresolved_pairs(
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1))
     dealt = open_ones.withColumn("_other", other).select(
         "band", F.least("_own", "_other").alias("_i"), F.greatest("_own", "_other").alias("_j"),
-        "_own", "rep", "component", "low",
+        "_own", "rep", "component", "low", "bands",
     )
 
     keys = ["band", "_i", "_j"]
@@ -316,7 +318,8 @@ def unresolved_pairs(
                 [pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"]
             )
 
-    return grouped.mapInArrow(run, "a long, b long").distinct()
+    pairs = grouped.mapInArrow(run, "a long, b long")
+    return pairs.distinct() if best_only else pairs
 
 
 def _compare(table: pa.Table, keys: list[str], miss: float, best_only: bool):
@@ -325,6 +328,8 @@ def _compare(table: pa.Table, keys: list[str], miss: float, best_only: bool):
     own = table["_own"].to_numpy()
     crossed = table["_i"].to_numpy() != table["_j"].to_numpy()
     low = byte_rows(table["low"].combine_chunks())
+    bands = pc.list_flatten(table["bands"].combine_chunks()).to_numpy().reshape(-1, BANDS)
+    here = table["band"].to_numpy()
     a_out, b_out = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for start, stop in group_spans(table, keys):
         for k in range(start, stop):
@@ -337,12 +342,11 @@ def _compare(table: pa.Table, keys: list[str], miss: float, best_only: bool):
             if not len(at):
                 continue
             keep, matches = plausible(np.broadcast_to(low[k], (len(at), low.shape[1])), low[at], miss)
-            if best_only and len(keep):
-                by = np.lexsort((rep[at[keep]], -matches[keep], part[at[keep]]))
-                keep = keep[by]
-                first = np.ones(len(keep), bool)
-                first[1:] = part[at[keep]][1:] != part[at[keep]][:-1]
-                keep = keep[first]
+            if best_only:
+                keep = keep[np.lexsort((rep[at[keep]], -matches[keep]))[:1]]
+            else:  # a pair belongs to the first band that it shares
+                first = (bands[at[keep]] == bands[k]).argmax(1)
+                keep = keep[bands[k][first] == here[k]]
             a_out.append(np.full(len(keep), rep[k]))
             b_out.append(rep[at[keep]])
     return np.concatenate(a_out), np.concatenate(b_out)
