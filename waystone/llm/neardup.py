@@ -382,11 +382,12 @@ def near_duplicates(docs: DataFrame, miss: float = MISS) -> DataFrame:
 
     stars = members.filter("leader <> rep").select(F.col("leader").alias("a"), F.col("rep").alias("b"))
     links = verified(stars.distinct(), False)
+    parts = stage(class_components(classes, links), "parts")
     for best_only in (True, False):
-        parts = stage(class_components(classes, links), "parts")
-        pairs = unresolved_pairs(members, classes, parts, miss, best_only)
-        links = links.union(verified(pairs, True))
-    parts = class_components(classes, links)
+        found = verified(unresolved_pairs(members, classes, parts, miss, best_only), True)
+        if found.limit(1).count():  # else nothing changes
+            links = links.union(found)
+            parts = stage(class_components(classes, links), "parts")
     by_key = classes.select("key", "rep").join(parts, "rep").select("key", "component")
     answered = drawn.select("doc_id", "key", "n_shingles").join(by_key, "key", "left")
     component = F.when(
