@@ -127,6 +127,36 @@ def test_whole_files_take_any_member_order(spark, tmp_path):
     assert {r["hash"] for r in rows.collect()} == DATASET
 
 
+def test_no_feature_is_lost(spark, tmp_path):
+    turned = [{"geometry": f["geometry"], "properties": f["properties"], "type": f["type"]}
+              for f in FEATURES[:3]]
+    marked = [feature({"HOUSENUM": "5", "ST_NAME": "FIR ST", "kind": "Feature"}), *FEATURES[:2]]
+    texts = {
+        "last": json.dumps({"type": "FeatureCollection", "features": turned}),
+        "lines": "\n".join(map(json.dumps, turned)),
+        "marked": json.dumps({"type": "FeatureCollection", "features": marked}, indent=1),
+        "broken": "this is not JSON",
+        "cut": json.dumps({"type": "FeatureCollection", "features": FEATURES[:3]})[:-60],
+        "none": json.dumps({"type": "FeatureCollection", "features": []}),
+    }
+    for name, text in texts.items():
+        (tmp_path / f"{name} a-addresses-county.geojson").write_text(text)
+    features, rejects = fi.read_feature_files(spark, str(tmp_path))
+
+    def per_file(df):
+        return {r["_file"].rsplit("/", 1)[-1].split("%20")[0]: r["count"]
+                for r in df.groupBy("_file").count().collect()}
+
+    assert per_file(features) == {"last": 3, "lines": 3, "marked": 3, "cut": 2}
+    assert per_file(rejects) == {"broken": 1, "cut": 1}
+    _, report = tb.bulk_ingest(spark, str(tmp_path), "OH")
+    lines = {r["file_name"].split(" ")[0]: r for r in report.collect()}
+    assert set(lines) == set(texts)
+    assert {n: r["status"] for n, r in lines.items() if r["status"] == "failed"} == {"broken": "failed"}
+    assert lines["marked"]["admitted"] == 3 and lines["none"]["admitted"] == 0
+    assert lines["broken"]["error_message"] and lines["cut"]["rejected"] == 1
+
+
 def test_county_flavour(spark, tmp_path):
     features = [
         feature({"number": 44.5, "street": "MAIN ST", "region": "OHIO", "flag": True}),

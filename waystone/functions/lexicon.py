@@ -167,6 +167,7 @@ ROW_LIMITS = {
     "states": (50, None, "reset"),
     "counties": (100, 1000, "reset"),
     "datasets": (50, None, "reset"),
+    "days": (30, 365, "reset"),
 }
 
 

@@ -64,7 +64,8 @@ def key_inventory(keys: DataFrame, users: DataFrame) -> DataFrame:
 
 def keys_of_users(asked: DataFrame, keys: DataFrame) -> DataFrame:
     """Active keys of the asked users (user_id), newest first within a user."""
-    return keys.filter("is_active").join(asked.select("user_id").distinct(), "user_id", "left_semi")
+    found = keys.filter("is_active").join(asked.select("user_id").distinct(), "user_id", "left_semi")
+    return found.orderBy("user_id", F.col("created_at").desc(), "id")
 
 
 def sync_admins(users: DataFrame, emails: DataFrame) -> DataFrame:

@@ -338,8 +338,11 @@ def geocode(queries: DataFrame, addresses: DataFrame, k: int = 50, col: str = "q
     )
 
 
-def geocode_summary(answers: DataFrame) -> DataFrame:
-    """Per query: exact and fallback counts, best tier and the fallback's label."""
+def geocode_summary(answers: DataFrame, questions: DataFrame | None = None) -> DataFrame:
+    """Per query: exact and fallback counts, best tier and the fallback's label.
+
+    ``questions`` (qid): those without an answer are named with counts of 0.
+    """
     exact = F.count(F.when(F.col("is_exact"), 1))
     others = F.count(F.when(~F.col("is_exact"), 1))
     totals = answers.groupBy("qid", "question", "search_method").agg(
@@ -348,7 +351,7 @@ def geocode_summary(answers: DataFrame) -> DataFrame:
     label = F.when(
         F.col("search_method") == "component", F.lit("nearby addresses (street/city match)")
     ).otherwise(street_only(F.col("question")))
-    return totals.select(
+    found = totals.select(
         "qid",
         "search_method",
         "exact_count",
@@ -356,3 +359,7 @@ def geocode_summary(answers: DataFrame) -> DataFrame:
         "best_tier",
         F.when(F.col("fallback_count") > 0, label).alias("fallback_query"),
     )
+    if questions is None:
+        return found
+    named = questions.select("qid").distinct().join(found, "qid", "left")
+    return named.fillna(0, ["exact_count", "fallback_count"])

@@ -131,7 +131,8 @@ def filtered_search(
     else:
         page = page.withColumn("total", F.lit(None).cast("long"))
     found = spread_join(asked.select("qid", "question"), page, ["question"], "qid")
-    return found.select("qid", "total", F.explode("answers").alias("a")).select(
+    # a page past the end still tells the total, in a row without an answer
+    return found.select("qid", "total", F.explode_outer("answers").alias("a")).select(
         "qid", "total", "a.*"
     )
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from urllib.parse import unquote
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -182,27 +184,104 @@ def read_features(
     spark: SparkSession, path: str | list[str], types: tuple[str, str] = FREE,
     whole_files: bool = False,
 ) -> DataFrame:
-    """Features of FeatureCollection or newline-delimited files, plain or gzip.
-
-    Files are cut behind each ``"Feature"`` type mark, so a large file is read
-    piece by piece (and split if it is not compressed) whatever its layout; the
-    rest of a piece after the feature's closing brace is ignored. This needs
-    ``type`` to be a feature's first member; ``whole_files=True`` reads any
-    order, one file per task. A piece that is no feature has NULL properties
-    and geometry. ``types``: column types of properties and coordinates.
+    """Features of FeatureCollection or newline-delimited files; see ``read_feature_files``."""
+    return read_feature_files(spark, path, types, whole_files)[0]
+
+
+def read_feature_files(
+    spark: SparkSession, path: str | list[str], types: tuple[str, str] = FREE,
+    whole_files: bool = False,
+) -> tuple[DataFrame, DataFrame]:
+    """Features of files, plain or gzip, with members in any order -> (features, rejects).
+
+    Files are cut behind each ``"Feature"`` type mark, so a large file is read piece by piece
+    (and split if it is not compressed). A file in which any piece is not the rest of a
+    whole feature (``type`` comes later, the mark is also a value, something is broken)
+    or which has none is read as a document instead, one file per task. Rejects (file,
+    reason, text) hold every part of a file that is no feature. ``types``: column
+    types of properties and coordinates; ``whole_files`` reads all files as documents.
     """
     if whole_files:
-        text = spark.read.option("wholetext", True).text(path).select(
-            "value",
-            F.col("_metadata.file_path").alias("_file"),
-            F.col("_metadata.file_block_start").alias("_start"),
-        )
-        schema = f"features array<struct<{_schema(*types)}>>"
-        listed = text.select(F.from_json("value", schema).alias("doc"), "_file", "_start")
-        return listed.select(
-            F.explode("doc.features").alias("feature"), "_file", "_start"
-        ).select("feature", "_file", _source_order())
-    return parse_pieces(feature_pieces(spark.read, path), types)
+        return parse_documents(_documents(spark.read, path), types)
+    return features_of(feature_pieces(spark.read, path), types)
+
+
+def features_of(pieces: DataFrame, types: tuple[str, str] = FREE) -> tuple[DataFrame, DataFrame]:
+    """Raw pieces (see ``feature_pieces``) -> (features, rejects)."""
+    spark = pieces.sparkSession
+    opens = F.ltrim("value").startswith("{")
+    feature = F.from_json(F.concat(F.lit('{"type":"Feature"'), F.col("value")), _schema(*types))
+    whole = F.explode(F.array(F.struct(opens.alias("opens"), feature.alias("f"))))
+    judged = pieces.select("_file", whole.alias("p")).select(
+        "_file",
+        F.col("p.opens").alias("opens"),
+        (F.col("p.f.properties").isNotNull() & F.col("p.f.geometry").isNotNull()).alias("good"),
+    )
+    files = judged.groupBy("_file").agg(
+        F.count_if(~F.col("opens") & F.col("good")).alias("good"),
+        F.count_if(~F.col("opens") & ~F.col("good")).alias("bad"),
+    )
+    # names of files, of which the driver has the list anyway
+    odd = [r["_file"] for r in files.filter("bad > 0 or good = 0").select("_file").collect()]
+    if not odd:
+        nothing = spark.createDataFrame([], "_file string, reason string, text string")
+        return parse_pieces(pieces, types), nothing
+    plain = parse_pieces(pieces.filter(~F.col("_file").isin(odd)), types)
+    rest, rejects = parse_documents(_documents(spark.read, [unquote(f) for f in odd]), types)
+    return plain.unionByName(rest), rejects
+
+
+def _documents(reader, path: str | list[str]) -> DataFrame:
+    return reader.text(path, wholetext=True).select(
+        "value",
+        F.col("_metadata.file_path").alias("_file"),
+        F.col("_metadata.file_block_start").alias("_start"),
+    )
+
+
+def parse_documents(docs: DataFrame, types: tuple[str, str] = FREE) -> tuple[DataFrame, DataFrame]:
+    """Whole files -> (features, rejects): as a collection, else as lines that hold features,
+    else as the pieces behind the marks."""
+    schema = _schema(*types)
+
+    def parsed(text: Column) -> Column:
+        return F.struct(text.alias("text"), F.from_json(text, schema).alias("feature"))
+
+    lines = F.transform(
+        F.filter(F.split("value", "\n"), lambda x: F.trim(x) != ""), lambda x: parsed(x)
+    )
+    marked = F.split("value", '"Feature"')
+    pieces = F.transform(
+        F.slice(marked, F.lit(2), F.greatest(F.size(marked) - 1, F.lit(0))),
+        lambda x: parsed(F.concat(F.lit('{"type":"Feature"'), x)),
+    )
+    members_ = F.transform(
+        F.col("doc.features"), lambda x: F.struct(F.lit(None).cast("string").alias("text"), x.alias("feature"))
+    )
+    found = docs.select(
+        "_file", "_start", "value",
+        F.from_json("value", f"features array<struct<{schema}>>").alias("doc"),
+        lines.alias("lines"),
+    )
+    is_feature = F.exists("lines", lambda x: x["feature"]["type"] == "Feature")
+    collection = F.col("doc.features").isNotNull()
+    parts = F.when(collection, members_).when(is_feature, F.col("lines")).otherwise(pieces)
+    rows = found.select(
+        "_file", "_start", collection.alias("collection"), F.explode_outer(parts).alias("part")
+    )
+    feature = F.col("part.feature")
+    good = F.coalesce(feature["type"] == "Feature", F.lit(False)) & (
+        feature["properties"].isNotNull() | feature["geometry"].isNotNull()
+    )
+    features = rows.filter(good).select(feature.alias("feature"), "_file", _source_order())
+    empty = F.col("collection") & F.col("part").isNull()  # a collection without features
+    rejects = rows.filter(~good & ~empty).select(
+        "_file",
+        F.when(F.col("part").isNull(), "no feature in this file").otherwise("not a feature")
+        .alias("reason"),
+        F.col("part.text").alias("text"),
+    )
+    return features, rejects
 
 
 def feature_pieces(reader, path: str | list[str]) -> DataFrame:
@@ -358,7 +437,7 @@ def read_county_meta(spark: SparkSession, path: str | list[str]) -> DataFrame:
         "source_name string, layer string, count int, stats string, "
         "bounds struct<type: string, coordinates: array<array<array<double>>>>"
     )
-    docs = spark.read.option("wholetext", True).text(path).select(
+    docs = spark.read.text(path, wholetext=True).select(
         F.from_json("value", schema).alias("m"), F.col("_metadata.file_path").alias("_file")
     )
     name = F.regexp_replace(dataset_name(F.col("_file")), r"-addresses-county\.geojson\.meta\z", "")

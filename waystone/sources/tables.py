@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import full_address
+from ..functions.text import county_from_path, full_address
 from ..operators.stage import stage
-from .files import read_address_geojson
+from .files import address_rows, dataset_name, read_feature_files
 
 
 def _one_per_key(df: DataFrame, keys: list[str], order: Column, last: bool) -> DataFrame:
@@ -79,22 +79,39 @@ def bulk_ingest(
     existing: DataFrame | None = None,
     flavour: str = "dataset",
 ) -> tuple[DataFrame, DataFrame]:
-    """Load many county files in one job -> (rows to add, report per file)."""
+    """Load many county files in one job -> (rows to add, report per file).
+
+    The report names every file: admitted, added and duplicate rows, rejected parts, and status
+    ``failed`` with a reason for a file in which nothing but rejects was found.
+    """
+    features, rejects = read_feature_files(spark, paths)
     # Parsed once, then read by the merge and by the report.
-    read = stage(read_address_geojson(spark, paths, flavour, state=state), "bulk-read")
+    read = stage(address_rows(features, flavour, state=state), "bulk-read")
     keys, order = ["hash"], F.col("source_order")
     if existing is None:
         existing = spark.createDataFrame([], "hash string")
     added = insert_new(existing, read, keys, order)
+    # only the names are read
+    files = spark.read.format("binaryFile").load(paths).select(
+        dataset_name(F.col("path")).alias("file_name")
+    ).distinct()
     admitted = read.groupBy("file_name").agg(
         F.count("*").alias("admitted"), F.min("county").alias("county")
     )
     inserted = added.groupBy("file_name").agg(F.count("*").alias("record_count"))
-    report = admitted.join(inserted, "file_name", "left").select(
-        "file_name", "county", F.lit(state).alias("state"), "admitted",
-        F.coalesce("record_count", F.lit(0)).alias("record_count"),
-        (F.col("admitted") - F.coalesce("record_count", F.lit(0))).alias("duplicates"),
-        F.lit("completed").alias("status"),
+    refused = rejects.groupBy(dataset_name(F.col("_file")).alias("file_name")).agg(
+        F.count("*").alias("rejected"), F.min("reason").alias("reason")
+    )
+    joined = files.join(admitted, "file_name", "left").join(inserted, "file_name", "left")
+    joined = joined.join(refused, "file_name", "left").fillna(0, ["admitted", "record_count", "rejected"])
+    failed = (F.col("admitted") == 0) & (F.col("rejected") > 0)
+    report = joined.select(
+        "file_name",
+        F.coalesce("county", county_from_path(F.col("file_name"))).alias("county"),
+        F.lit(state).alias("state"), "admitted", "record_count",
+        (F.col("admitted") - F.col("record_count")).alias("duplicates"), "rejected",
+        F.when(failed, "failed").otherwise("completed").alias("status"),
+        F.when(failed, F.col("reason")).alias("error_message"),
     )
     return with_full_address(added), report
 

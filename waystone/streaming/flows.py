@@ -13,7 +13,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.accounts import authorize_requests
 from ..operators.usage import daily_rollup, rate_limits_of_rollup
-from ..sources.files import address_rows, feature_pieces, parse_pieces
+from ..sources.files import address_rows, feature_pieces, features_of, parse_pieces
 from ..sources.tables import insert_new, with_full_address
 
 
@@ -119,7 +119,8 @@ def ingest_stream(
 
     def load(pieces: DataFrame, batch: int) -> None:
         table = pieces.sparkSession.read.parquet(path).filter(F.col("batch") < batch)
-        new = insert_new(table, rows_of(pieces), ["hash"], F.col("source_order"))
+        found = address_rows(features_of(pieces)[0], flavour, county, state)
+        new = insert_new(table, found, ["hash"], F.col("source_order"))
         _replace(with_full_address(new).drop("source_order"), path, batch)
 
     pieces = feature_pieces(
