@@ -4,6 +4,9 @@ import re
 
 import pytest
 
+from pyspark.sql import functions as F
+
+from waystone.operators.geocode import ranked_lists
 from waystone.plans.catalogue import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -43,3 +46,26 @@ def test_usage_report_reads_few_columns_and_days(spark):
 def test_report_is_one_scan(spark):
     for name in ("a07_user_metrics", "a08_system_analytics"):
         assert plan(QUERIES[name](spark, SF)).count("FileScan") == 1
+
+
+def test_address_lists_are_cut_before_the_shuffle(spark, tmp_path):
+    # 90 of 100 addresses lie in one ZIP; ids and lines are in opposite order.
+    rows = [(i, f"{999 - i} MAIN ST", "70112" if i % 10 else f"{i:05d}") for i in range(100)]
+    spark.createDataFrame(rows, "id int, full_address string, postcode string").repartition(
+        4
+    ).write.parquet(str(tmp_path / "a"))
+    addresses = spark.read.parquet(str(tmp_path / "a"))
+    asked = spark.createDataFrame([("70112",), ("00010",), ("none",), ("70112",)], "list_key string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        lists = ranked_lists(addresses, F.array("postcode"), asked, 3)
+        text = plan(lists)
+        found = {r["list_key"]: sorted(x["id"] for x in r["records"]) for r in lists.collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert found == {"70112": [97, 98, 99], "00010": [10]}
+    lines = text.splitlines()
+    partial = next(i for i, x in enumerate(lines) if "WindowGroupLimit" in x and "Partial" in x)
+    scan = next(i for i, x in enumerate(lines) if i > partial and "FileScan" in x)
+    assert not any("Exchange" in x for x in lines[partial:scan])

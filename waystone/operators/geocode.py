@@ -46,14 +46,19 @@ def ranked_lists(
 ) -> DataFrame:
     """(list_key, records): the first ``k`` addresses of every asked key.
 
-    ``keys`` is an array column: all list keys an address belongs to.
+    ``keys`` is an array column: all list keys an address belongs to; ``order``
+    ends in ``id``, which names one address.  Only the key and the order columns
+    are cut and shuffled: a key with most of the rows sends k of them from each
+    input partition.  Whole records are fetched for the rows that remain.
     """
-    rows = addresses.select(
-        F.explode(F.array_compact(keys)).alias("list_key"),
-        _record(addresses.columns, order).alias("rec"),
-    ).join(asked.select("list_key").distinct(), "list_key", "left_semi")
-    best = top_k_per_query(rows, ["list_key"], _rec_order(order), k)
-    return best.groupBy("list_key").agg(F.collect_list("rec").alias("records"))
+    rows = addresses.select(F.explode(F.array_compact(keys)).alias("list_key"), *order)
+    best = top_k_per_query(rows, ["list_key"], [F.col(c).asc_nulls_last() for c in order], k)
+    # An inner join stays above the cut; a semi join would be moved below it, and with it
+    # the shuffle of all rows of a key to one task.
+    wanted = best.select("list_key", "id").join(asked.select("list_key").distinct(), "list_key")
+    records = addresses.select("id", _record(addresses.columns, order).alias("rec"))
+    found = wanted.join(records, "id")
+    return found.groupBy("list_key").agg(F.collect_list("rec").alias("records"))
 
 
 def _rec_order(order: tuple[str, ...]) -> list[Column]:
