@@ -269,6 +269,38 @@ def test_score(docs, empty):
     assert scoring.score_texts(empty).count() == 0
 
 
+def test_word_shares_and_spelling_leave_no_mass_over():
+    rng = np.random.default_rng(5)
+    words = rng.integers(0, 350, 300)  # the first id of each distinct word
+    n = rng.integers(1, 9, 300)
+    starts, once = np.bincount(words, n, 400), np.bincount(words, n == 1, 400)
+    seen = starts + rng.integers(0, 5, 400)
+    units = scoring.Units.of(seen, starts, once, np.arange(400) % 2 == 0)
+    listed = np.exp(units.listed(n, words))
+    for u in np.unique(units.unit[words]):
+        mine = units.unit[words] == u
+        assert abs(listed[mine].sum() + np.exp(units.spelled[u]) - 1) < 1e-12
+        assert abs(np.exp(units.share[units.unit == u]).sum() - 1) < 1e-12
+    assert np.isneginf(units.listed(np.zeros(1), words[:1])).all()
+
+
+def test_texts_are_scored_alone_as_among_others():
+    model = scoring.Model.fresh()
+    at = np.array([0, 3, 5, 8, 10, 10, 41])
+    ids = np.arange(at[-1]) * 7 % 300
+    starts = np.bincount(ids, minlength=300)
+    units = scoring.Units.of(starts, starts, starts * 0, starts < 0)
+    seq, limits = scoring.unit_texts(ids, at, units)
+    whole = model.log_probabilities(seq, limits)
+    for k in range(len(at) - 1):
+        alone, own = scoring.unit_texts(ids[at[k] : at[k + 1]], at[k : k + 2] - at[k], units)
+        assert list(alone) == list(seq[limits[k] : limits[k + 1]])
+        assert alone[0] == alone[-1] == 0
+        found = model.log_probabilities(alone, own)
+        assert np.allclose(found, whole[limits[k] : limits[k + 1]], atol=1e-5)
+        assert list(scoring.id_places(at[k : k + 2] - at[k])) == list(range(1, len(alone) - 1))
+
+
 def test_subwords(docs, empty):
     library = SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
     encoded = subwords.encode_subwords(docs).cache()

@@ -3,8 +3,8 @@
 Counts cover all training texts: each block sends its words with their training counts to
 value ranges, a range adds them up, asks the tokenizer for the subword ids of each
 word once, and answers every block. Only the attention weights are fitted on a
-bounded sample (``TRAIN_TEXTS``), the frequencies of subwords within a unit again
-on all training texts.
+bounded sample (``TRAIN_TEXTS``); the frequencies of subwords within a unit and of words
+among those that begin with a unit again cover all training texts.
 """
 
 from __future__ import annotations
@@ -92,7 +92,8 @@ ANSWERS = "block long, part long, counts binary, sizes binary, ids binary, n lon
 
 def word_answers(lists: DataFrame, ranges: int, path: str) -> DataFrame:
     """For every block and range: training counts and subword ids of its words. A row with
-    block -1 per range holds its subword counts and its share of N and V."""
+    block -1 per range holds its share of N and V and, for each subword, how often training
+    words hold it, how many begin with it and how many of those were seen once."""
 
     def run(batches):
         for table in whole_groups(batches, ["part"]):
@@ -123,7 +124,10 @@ def _answer(table: pa.Table, path: str) -> pa.RecordBatch:
     kinds, place = np.unique(ids, return_inverse=True)
     seen = np.bincount(place, np.repeat(total, n_ids), minlength=len(kinds)).astype(np.int64)
     first = np.concatenate([[0], np.cumsum(n_ids)])
-    rows = {"counts": [squeeze(seen)], "sizes": [b""], "ids": [squeeze(kinds.astype(np.uint32))]}
+    begin, of = place[first[:-1][n_ids > 0]], total[n_ids > 0]
+    starts = np.bincount(begin, of, minlength=len(kinds)).astype(np.int64)
+    once = np.bincount(begin, of == 1, minlength=len(kinds)).astype(np.int64)
+    rows = {"counts": [squeeze(np.concatenate([seen, starts, once]))], "sizes": [b""], "ids": [squeeze(kinds.astype(np.uint32))]}
     ends = np.cumsum([len(s) for s in sizes])
     for end, size in zip(ends.tolist(), map(len, sizes), strict=True):
         mine = code[end - size : end]
@@ -146,19 +150,22 @@ def _answer(table: pa.Table, path: str) -> pa.RecordBatch:
 
 
 def subword_counts(answers: DataFrame) -> DataFrame:
-    """id and n over all training texts; at most a row for each id of the vocabulary."""
+    """id, n, starts, once over all training texts; at most a row for each id of the vocabulary."""
 
     def run(batches):
         for batch in batches:
             for k in range(batch.num_rows):
                 ids = spread(batch.column("ids")[k].as_py(), np.uint32)
-                n = spread(batch.column("counts")[k].as_py(), np.int64)
+                n = spread(batch.column("counts")[k].as_py(), np.int64).reshape(3, -1)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids.astype(np.int64)), pa.array(n)], names=["id", "n"]
+                    [pa.array(ids.astype(np.int64)), *(pa.array(x) for x in n)],
+                    names=["id", "n", "starts", "once"],
                 )
 
-    found = answers.filter("block = -1").select("ids", "counts").mapInArrow(run, "id long, n long")
-    return found.groupBy("id").agg(F.sum("n").alias("n"))
+    found = answers.filter("block = -1").select("ids", "counts").mapInArrow(
+        run, "id long, n long, starts long, once long"
+    )
+    return found.groupBy("id").agg(*(F.sum(c).alias(c) for c in ("n", "starts", "once")))
 
 
 @dataclass
@@ -168,9 +175,11 @@ class Units:
 
     unit: np.ndarray  # of every id
     share: np.ndarray  # ln P(id | its unit)
+    starts: np.ndarray  # training words that begin with each unit
+    spelled: np.ndarray  # ln of the Good-Turing mass of unseen words among them
 
     @classmethod
-    def of(cls, counts: np.ndarray, ends_word: np.ndarray) -> Units:
+    def of(cls, counts: np.ndarray, starts: np.ndarray, once: np.ndarray, ends_word: np.ndarray) -> Units:
         alone = UNITS // 2
         order = np.argsort(-counts, kind="stable")
         unit = np.zeros(len(counts), np.int64)
@@ -183,16 +192,29 @@ class Units:
             unit[side] = alone + k * half + at.astype(np.int64)
         seen = counts + 0.5
         share = np.log(seen / np.bincount(unit, seen, minlength=UNITS)[unit])
-        return cls(unit, share)
+        begun = np.bincount(unit, starts, minlength=UNITS)
+        unseen = (np.bincount(unit, once, minlength=UNITS) + 1) / (begun + 2)
+        return cls(unit, share, begun, np.log(unseen))
+
+    def listed(self, counts: np.ndarray, first_id: np.ndarray) -> np.ndarray:
+        """ln P(a word | it begins with the unit of its first id) that its count alone gives."""
+        unit = self.unit[first_id]
+        with np.errstate(divide="ignore"):
+            given = np.log(counts) - np.log(np.maximum(self.starts, 1))[unit]
+        return given + np.log1p(-np.exp(self.spelled))[unit]
 
 
 def unit_texts(ids: np.ndarray, bounds: np.ndarray, units: Units):
     """Units of all texts with unit 0 before and behind each, and their bounds."""
-    sizes = np.diff(bounds)
-    ends = np.cumsum(sizes + 2)
-    out = np.zeros(int(ends[-1]) if len(ends) else 0, np.int64)
-    out[ragged(ends - sizes - 1, sizes)] = units.unit[ids]
-    return out, np.concatenate([[0], ends])
+    limits = bounds + 2 * np.arange(len(bounds))
+    out = np.zeros(int(limits[-1]), np.int64)
+    out[id_places(bounds)] = units.unit[ids]
+    return out, limits
+
+
+def id_places(bounds: np.ndarray) -> np.ndarray:
+    """Where the ids of all texts lie in ``unit_texts``."""
+    return ragged(bounds[:-1] + 2 * np.arange(len(bounds) - 1) + 1, np.diff(bounds))
 
 
 def _score_block(block: Block, answers: pa.Table, ranges: int, known, model, units) -> list:
@@ -211,14 +233,26 @@ def _score_block(block: Block, answers: pa.Table, ranges: int, known, model, uni
     is_known = (counts > 0).astype(np.int64)
     n_known = sums(is_known[words.codes], words.bounds) + is_known[words.end]
     first = np.concatenate([[0], np.cumsum(n_ids)])
+    has_ids = n_ids > 0
+    first_id = np.zeros(len(n_ids), np.int64)
+    first_id[has_ids] = ids[first[:-1][has_ids]]
+    listed, opening = units.listed(counts, first_id), units.spelled[units.unit[first_id]]
     score = np.zeros(len(block.ids))
     for a, b in _portions(words.bounds):
         codes = words.codes[words.bounds[a] : words.bounds[b]]
         flat = ids[ragged(first[codes], n_ids[codes])]
         ends = np.concatenate([[0], np.cumsum(n_ids[codes])])
-        at = ends[words.bounds[a : b + 1] - words.bounds[a]]
-        seq, limits = unit_texts(flat, at, units)
-        score[a:b] = sums(model.log_probabilities(seq, limits), limits) + sums(units.share[flat], at)
+        own = words.bounds[a : b + 1] - words.bounds[a]
+        seq, limits = unit_texts(flat, ends[own], units)
+        found = model.log_probabilities(seq, limits)
+        each_id = found[id_places(ends[own])]
+        real = has_ids[codes]
+        head = np.zeros(len(codes))
+        head[real] = each_id[ends[:-1][real]]
+        rest = sums(each_id + units.share[flat], ends) - head  # of the word, after its first unit
+        whole = head + np.logaddexp(rest + opening[codes], listed[codes])
+        whole[~real] = -np.log(n + 1)  # a word without any subword
+        score[a:b] = sums(whole, own) + found[limits[1:] - 1]
     columns = [
         pa.array(block.ids, pa.int64()), pa.array(words.held_out), pa.array(n_words + 1),
         pa.array(n_known), pa.array(np.full(len(n_words), n)), pa.array(base),
@@ -250,7 +284,9 @@ def score_texts(
 
     Tokens are the words ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased and one end. Returns doc_id,
     held_out, n_tokens, n_known, train_tokens, base_score (add-one unigram, log10) and score (log10
-    probability of the text's subwords and its end under the attention model). A null or empty
+    probability of the text and its end). The attention model gives the unit that each word begins
+    with; the rest of a word is mixed from its share among the training words that begin so and
+    from its spelling by the attention model, which has the mass of words seen once. A null or empty
     text is only its end; a row without doc_id is neither learned from nor held out; rows that
     repeat are learned from and answered each; without training rows nothing is known and the
     model stays as it was drawn. Other columns are ignored; an empty table gives an empty result.
@@ -263,12 +299,12 @@ def score_texts(
     n, v = known["n"] or 0, known["v"] or 0
     own = word_ids(path)
     size = own.library.get_vocab_size()
-    counts = np.zeros(size)
+    counts, starts, once = np.zeros((3, size))
     for row in subword_counts(answers).collect():  # a row for each id of the vocabulary at most
-        counts[row["id"]] = row["n"]
+        counts[row["id"]], starts[row["id"]], once[row["id"]] = row["n"], row["starts"], row["once"]
     ends_word = np.zeros(size, bool)
     ends_word[[i for t, i in own.library.get_vocab().items() if t.endswith("</w>")]] = True
-    units = Units.of(counts, ends_word)
+    units = Units.of(counts, starts, once, ends_word)
     learned = docs.select("doc_id", "text").filter(fold(FOLDS) != HELD_OUT)
     sample = learned.orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(train_texts)
     texts = pc.ascii_lower(pc.fill_null(sample.select("text").toArrow()["text"], "").combine_chunks())
