@@ -44,7 +44,7 @@ def test_usage_report_reads_few_columns_and_days(spark):
 
 
 def test_report_is_one_scan(spark):
-    for name in ("a07_user_metrics", "a08_system_analytics"):
+    for name in ("a07_user_metrics", "a08_system_analytics", "a13_usage_cards"):
         assert plan(QUERIES[name](spark, SF)).count("FileScan") == 1
 
 

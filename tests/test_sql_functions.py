@@ -11,7 +11,7 @@ def test_sql_functions(spark):
     assert set(names) == {"expand_street", "full_address", "strip_unit", "endpoint_of",
                           "haversine_miles", "haversine_km"}
     streets = ["MAIN DR", "main \t st", "DR", " DR", "ST JOHN", "5th n", None, "Elm PK"]
-    df = spark.createDataFrame([(s, f"1 {s} Apt 2B, X") for s in streets], "street string, q string")
+    df = spark.createDataFrame([(s, f"\t1 {s} Apt 2B, X\n") for s in streets], "street string, q string")
     df = df.withColumn("path", F.concat(F.lit("/api/addresses/"), "street"))
     df.createOrReplaceTempView("rows_")
     got = spark.sql("""

@@ -33,6 +33,7 @@ def definitions() -> dict[str, str]:
     """Signature and return type -> SQL body."""
     blanks = r"' \t\n\r\f\u000b'"
     last = r"substring_index(translate(street, '\t\n\r\f\u000b', '     '), ' ', -1)"
+    outer = rf"^{lx.WS}+|{lx.WS}+\z"
     full = f"try_element_at({_suffix_map()}, upper({last}))"
     place = "lat1 double, lng1 double, lat2 double, lng2 double"
     parts = ", ".join(f"{c} string" for c in ("house", "street", "unit", "city", "region", "zip"))
@@ -48,8 +49,9 @@ def definitions() -> dict[str, str]:
             "coalesce(nullif(region, ''), 'OH'), nullif(zip, ''))"
         ),
         "strip_unit(query string) returns string": (
-            f"trim(regexp_replace(regexp_replace(regexp_replace(query, {_text(lx.UNIT_PATTERN)}, "
-            f"''), {_text(lx.DOUBLE_COMMA)}, ', '), {_text(lx.SPACE_RUN)}, ' '))"
+            f"regexp_replace(regexp_replace(regexp_replace(regexp_replace(query, "
+            f"{_text(lx.UNIT_PATTERN)}, ''), {_text(lx.DOUBLE_COMMA)}, ', '), "
+            f"{_text(lx.SPACE_RUN)}, ' '), {_text(outer)}, '')"
         ),
         "endpoint_of(path string) returns string": _endpoint_case(),
         f"haversine_miles({place}) returns double": _haversine(lx.EARTH_MILES),

@@ -273,21 +273,24 @@ def usage_cards(usage: DataFrame, as_of: str, days: int = 30) -> DataFrame:
     plain mean of the endpoints' means. Both are rounded to whole numbers,
     halves up.
     """
-    rolled = daily_rollup(since(usage, as_of, days))
-    by_day = rolled.groupBy("user_id", "date").agg(
-        _sum("calls").alias("calls"), _sum("billable").alias("billable")
+    known = since(usage, as_of, days).filter(F.col("user_id").isNotNull())
+    rolled = daily_rollup(known)
+    # One pass gives a row for each day and one for each endpoint of a user.
+    sets = [[F.col("user_id"), F.col("date")], [F.col("user_id"), F.col("endpoint")]]
+    both = rolled.groupingSets(sets, "user_id", "date", "endpoint").agg(
+        (F.grouping("date") == 0).alias("is_day"), _sum("calls").alias("calls"),
+        _sum("billable").alias("billable"), _mean_ms().alias("mean_ms"),
     )
-    days_part = by_day.groupBy("user_id").agg(
-        _sum("calls").alias("total_calls"),
-        _sum("billable").alias("billable_calls"),
-        F.floor(F.sum("calls") / F.count("*") + 0.5).alias("avg_calls_per_day"),
-        F.floor(F.sum("billable") / F.sum("calls") * 100 + 0.5).alias("billable_percent"),
-    )
-    by_endpoint = rolled.groupBy("user_id", "endpoint").agg(_mean_ms().alias("mean_ms"))
-    times = by_endpoint.groupBy("user_id").agg(
-        F.floor(F.avg("mean_ms") + 0.5).alias("avg_response_time")
+
+    is_day = F.col("is_day")
+    calls, billable = _sum("calls", is_day), _sum("billable", is_day)
+    return both.groupBy("user_id").agg(
+        calls.alias("total_calls"),
+        billable.alias("billable_calls"),
+        F.floor(calls / F.count_if(is_day) + 0.5).alias("avg_calls_per_day"),
+        F.floor(billable / calls * 100 + 0.5).alias("billable_percent"),
+        F.floor(F.avg(F.when(~is_day, F.col("mean_ms"))) + 0.5).alias("avg_response_time"),
     )
-    return days_part.join(times, "user_id")
 
 
 # ------------------------------------------------------------ datasets, counties
