@@ -269,6 +269,38 @@ def test_score(docs, empty):
     assert scoring.score_texts(empty).count() == 0
 
 
+def test_every_training_text_reaches_the_attention_weights(spark):
+    """Texts far down the order of hashed ids alone hold words in a fixed order."""
+    rng, names = random.Random(2), [f"{c}x" for c in "abcdefgh"]
+    order = spark.range(4000).orderBy(F.xxhash64("id")).collect()
+    fold = scoring.fold_of([r["id"] for r in order])
+    learned = [r["id"] for r, f in zip(order, fold, strict=True) if f != 2]
+    tests = [r["id"] for r, f in zip(order, fold, strict=True) if f == 2][:40]
+    rows = [(i, " ".join(rng.choices(names, k=48))) for i in learned[:1200]]
+    rows += [(i, " ".join(names * 6)) for i in learned[1200:]]
+    for k, i in enumerate(tests):
+        rows.append((i, " ".join(names * 6 if k % 2 else rng.sample(names * 6, 48))))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    found = {r["doc_id"]: r["score"] for r in scoring.score_texts(docs, steps=100).collect()}
+    mixed, ordered = ([found[i] for i in tests[k::2]] for k in (0, 1))
+    assert min(ordered) > max(mixed) + 10
+
+
+def test_rounds_learn_from_every_window_once(spark, monkeypatch):
+    texts = [np.tile([1, 2, 3], 40 + k) for k in range(60)]
+    rows, total = [], 0
+    for k, t in enumerate(texts):
+        seq = np.concatenate([[0], t, [0]])
+        number = len(scoring.input_windows(np.array([0, len(seq)]))[0])
+        total += number
+        rows.append((k / 60, number, bytearray(scoring.squeeze(seq.astype(np.uint8))),
+                     bytearray(scoring.squeeze(np.array([len(seq)])))))
+    learned = spark.createDataFrame(rows, scoring.LEARNED).repartition(4).cache()
+    assert scoring.fit(learned, 800)[1] == total
+    assert scoring.fit(learned, 1)[1] == total  # several rounds
+    assert scoring.fit(learned.limit(0), 1)[1] == 0
+
+
 def test_word_shares_and_spelling_leave_no_mass_over():
     rng = np.random.default_rng(5)
     words = rng.integers(0, 350, 300)  # the first id of each distinct word

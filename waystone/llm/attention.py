@@ -8,6 +8,8 @@ least ``SPAN - STRIDE`` tokens before it where the text has them.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 
 GROUPS, EACH = 16, 16
@@ -94,22 +96,32 @@ class Model:
         h, (x, q, k, v, a, total, both) = self.hidden(units, inside)
         scored = inside[:, LOOK:].ravel().astype(np.float32)
         target = target.ravel()
-        rows, group, each = np.arange(len(h)), target // EACH, target % EACH
-        p = _softmax(h @ w["group"] + w["group_bias"])
-        u = _softmax(np.einsum("nh,nhe->ne", h, w["unit"][group]) + w["unit_bias"][group])
+        rows, group = np.arange(len(h)), target // EACH
         n = max(float(scored.sum()), 1.0)
-        loss = -((np.log(p[rows, group]) + np.log(u[rows, each])) * scored).sum() / n
+        weight = scored / n
+        p = _softmax(h @ w["group"] + w["group_bias"])
+        loss = -(np.log(p[rows, group]) * weight).sum()
         p[rows, group] -= 1
-        u[rows, each] -= 1
-        p *= (scored / n)[:, None]
-        u *= (scored / n)[:, None]
-        wide = np.zeros((len(h), GROUPS, EACH), np.float32)
-        wide[rows, group] = u
+        p *= weight[:, None]
         g = {
-            "group": h.T @ p, "group_bias": p.sum(0), "unit_bias": wide.sum(0),
-            "unit": (h.T @ wide.reshape(len(h), -1)).reshape(HIDDEN, GROUPS, EACH).transpose(1, 0, 2),
+            "group": h.T @ p, "group_bias": p.sum(0),
+            "unit": np.zeros_like(w["unit"]), "unit_bias": np.zeros_like(w["unit_bias"]),
         }
-        dh = p @ w["group"].T + np.einsum("ne,nhe->nh", u, w["unit"][group])
+        dh = p @ w["group"].T
+        order = np.argsort(group.astype(np.uint8), kind="stable")  # rows of one group share a product
+        ends = np.cumsum(np.bincount(group, minlength=GROUPS)).tolist()
+        for one, (first, last) in enumerate(zip([0, *ends], ends, strict=False)):
+            if first == last:
+                continue
+            mine = order[first:last]
+            some, each = h.take(mine, 0), target.take(mine) % EACH
+            u = _softmax(some @ w["unit"][one] + w["unit_bias"][one])
+            at = np.arange(len(mine))
+            loss -= (np.log(u[at, each]) * weight.take(mine)).sum()
+            u[at, each] -= 1
+            u *= weight.take(mine)[:, None]
+            g["unit"][one], g["unit_bias"][one] = some.T @ u, u.sum(0)
+            dh[mine] += u @ w["unit"][one].T
         dh *= h > 0
         g |= {"mix": both.T @ dh, "shift": dh.sum(0)}
         d_both = dh @ w["mix"].T
@@ -127,7 +139,9 @@ class Model:
         dx[:, LOOK:] += (dq @ w["query"].T + d_both[:, WIDTH:]).reshape(-1, STRIDE, WIDTH)
         g["place"] = dx.sum(0)
         g["embed"] = np.zeros_like(w["embed"])
-        np.add.at(g["embed"], units.ravel(), dx.reshape(-1, WIDTH))
+        order = np.argsort(units.ravel().astype(np.uint16), kind="stable")
+        kinds, first = np.unique(units.ravel().take(order), return_index=True)
+        g["embed"][kinds] = np.add.reduceat(dx.reshape(-1, WIDTH).take(order, 0), first, axis=0)
         return float(loss), g
 
     def _log_softmax_at(self, h: np.ndarray, target: np.ndarray) -> np.ndarray:
@@ -177,24 +191,72 @@ def _softmax(x: np.ndarray) -> np.ndarray:
     return x / x.sum(1, keepdims=True)
 
 
-def train(units: np.ndarray, bounds: np.ndarray, steps: int, batch: int = 128, rate: float = 0.015,
+#: Windows of a training step, and the share of the learning rate's climb in steps.
+BATCH, CLIMB, RATE = 128, 20, 0.015
+
+
+@dataclass
+class State:
+    """A model in training: weights, the means that Adam keeps of their gradients, and the
+    windows learned from so far. States of the same round add up to one."""
+
+    weights: dict[str, np.ndarray]
+    mean: dict[str, np.ndarray]
+    power: dict[str, np.ndarray]
+    steps: float = 0
+
+    @classmethod
+    def fresh(cls) -> State:
+        w = Model.fresh().w
+        return cls(w, *({n: np.zeros_like(x) for n, x in w.items()} for _ in range(2)))
+
+    def flat(self) -> np.ndarray:
+        parts = [x.ravel() for d in (self.weights, self.mean, self.power) for x in d.values()]
+        return np.concatenate(parts).astype(np.float64)
+
+    @classmethod
+    def of(cls, flat: np.ndarray, steps: float) -> State:
+        own, at = cls.fresh(), 0
+        for d in (own.weights, own.mean, own.power):
+            for n, x in d.items():
+                d[n] = flat[at : at + x.size].reshape(x.shape).astype(x.dtype)
+                at += x.size
+        own.steps = steps
+        return own
+
+    def learn(self, units: np.ndarray, bounds: np.ndarray, rng, rate, passes: int = 1,
+              batch: int = BATCH) -> int:
+        """Adam on every window of the given texts, ``passes`` times in an order drawn anew;
+        ``rate(steps)`` is the learning rate. Returns the steps taken."""
+        first, text, inputs = input_windows(bounds)
+        model, taken = Model(self.weights), 0
+        for _ in range(passes):
+            order = rng.permutation(len(first))
+            for a in range(0, len(order), batch):
+                pick = order[a : a + batch]
+                at, inside = places(first[pick], inputs[text[pick]], len(units))
+                target = units[np.minimum(at[:, LOOK:] + 1, len(units) - 1)]
+                _, g = model.gradient(units[at], inside, target)
+                self.steps += 1
+                taken += 1
+                now, k = rate(self.steps), self.steps
+                for n, x in self.weights.items():
+                    mean, power = self.mean[n], self.power[n]
+                    mean *= 0.9
+                    mean += 0.1 * g[n]
+                    power *= 0.99
+                    power += 0.01 * g[n] ** 2
+                    x -= now * (mean / (1 - 0.9**k)) / (np.sqrt(power / (1 - 0.99**k)) + 1e-8)
+        return taken
+
+
+def train(units: np.ndarray, bounds: np.ndarray, steps: int, batch: int = BATCH, rate: float = RATE,
           seed: int = 3) -> Model:
-    """Adam on windows drawn with a fixed seed from the given texts."""
-    model = Model.fresh()
-    first, text, inputs = input_windows(bounds)
-    if not len(first):
-        return model
-    rng = np.random.default_rng(seed)
-    mean = {n: np.zeros_like(x) for n, x in model.w.items()}
-    power = {n: np.zeros_like(x) for n, x in model.w.items()}
-    for step in range(1, steps + 1):
-        pick = rng.integers(0, len(first), batch)
-        at, inside = places(first[pick], inputs[text[pick]], len(units))
-        target = units[np.minimum(at[:, LOOK:] + 1, len(units) - 1)]
-        _, g = model.gradient(units[at], inside, target)
-        now = rate * min(1.0, step / 20) * (1 - step / (steps + 1))
-        for n, x in model.w.items():
-            mean[n] = 0.9 * mean[n] + 0.1 * g[n]
-            power[n] = 0.99 * power[n] + 0.01 * g[n] ** 2
-            x -= now * (mean[n] / (1 - 0.9**step)) / (np.sqrt(power[n] / (1 - 0.99**step)) + 1e-8)
-    return model
+    """Adam on all windows of the given texts, in as many passes as make ``steps`` steps."""
+    state = State.fresh()
+    each = -(-len(input_windows(bounds)[0]) // batch)
+    if each:
+        passes = -(-steps // each)
+        state.learn(units, bounds, np.random.default_rng(seed),
+                    lambda k: rate * min(1.0, k / CLIMB) * (1 - k / (passes * each + 1)), passes, batch)
+    return Model(state.weights)

@@ -2,13 +2,14 @@
 
 Counts cover all training texts: each block sends its words with their training counts to
 value ranges, a range adds them up, asks the tokenizer for the subword ids of each
-word once, and answers every block. Only the attention weights are fitted on a
-bounded sample (``TRAIN_TEXTS``); the frequencies of subwords within a unit and of words
-among those that begin with a unit again cover all training texts.
+word once, and answers every block. The attention weights learn from every window of every
+training text: a few windows in one task first, then tasks side by side in rounds, each as
+large as all before it, whose weights are averaged. Only arrays of weights reach the driver.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 from dataclasses import dataclass
 
@@ -20,16 +21,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.stage import stage
-from .attention import Model, UNITS, train
-from .batches import buffer_of, coded_words, hash_strings, ragged, sums, whole_groups
+from .attention import BATCH, CLIMB, RATE, Model, State, UNITS, input_windows
+from .batches import buffer_of, coded_words, hash_strings, mix, ragged, sums, whole_groups
 from .blocks import Block, range_count, spread, squeeze, stored_blocks, unpacked, with_answers
 from .languages import fold
 from .packing import word_ids
 
 FOLDS, HELD_OUT = 7, 2
-#: Texts that the attention weights are fitted on: those whose hashed id comes first.
-TRAIN_TEXTS = 1200
+#: Steps of training at least; a small corpus is passed over several times for them.
 STEPS = 800
+#: Units that a task shuffles at a time, and tasks that add up the weights of a round.
+SHUFFLED, ADDERS = 1 << 21, 4
 #: Stands for the end of a text; no word holds a line end.
 END = "\n"
 
@@ -54,10 +56,10 @@ class Words:
         self.codes, self.end = rank[codes], int(rank[-1])
         fold = fold_of(block.ids)
         self.held_out = fold == HELD_OUT
-        learned = (fold >= 0) & ~self.held_out
-        used = self.codes[np.repeat(learned, np.diff(self.bounds))]
+        self.learned = (fold >= 0) & ~self.held_out
+        used = self.codes[np.repeat(self.learned, np.diff(self.bounds))]
         self.counts = np.bincount(used, minlength=len(self.words)).astype(np.int64)
-        self.counts[self.end] += int(learned.sum())
+        self.counts[self.end] += int(self.learned.sum())
 
 
 def word_lists(blocks: DataFrame, ranges: int) -> DataFrame:
@@ -217,7 +219,8 @@ def id_places(bounds: np.ndarray) -> np.ndarray:
     return ragged(bounds[:-1] + 2 * np.arange(len(bounds) - 1) + 1, np.diff(bounds))
 
 
-def _score_block(block: Block, answers: pa.Table, ranges: int, known, model, units) -> list:
+def _answered(block: Block, answers: pa.Table, ranges: int, units: Units):
+    """Words of a block, their training counts, numbers of subwords, and subword ids."""
     words = Words(block, ranges)
     rows = answers.sort_by("part").to_pylist()
     counts = np.concatenate([spread(r["counts"], np.int64) for r in rows])
@@ -226,6 +229,123 @@ def _score_block(block: Block, answers: pa.Table, ranges: int, known, model, uni
     ids = np.concatenate([spread(r["ids"], wide) for r in rows]).astype(np.int64)
     if len(counts) != len(words.words):
         raise ValueError(f"block {block.number} lost answers")
+    return words, counts, n_ids, ids
+
+
+LEARNED = "place double, windows long, units binary, sizes binary"
+
+
+def _learned_block(block: Block, answers: pa.Table, ranges: int, units: Units) -> list:
+    """Units of the block's training texts, and its place among all blocks, from 0 to 1."""
+    words, _, n_ids, ids = _answered(block, answers, ranges, units)
+    chosen = words.learned
+    if "chosen" in block.row:
+        chosen = chosen & np.array(block.row["chosen"], bool)
+    if not chosen.any():
+        return []
+    n_words = np.diff(words.bounds)
+    codes = words.codes[np.repeat(chosen, n_words)]
+    first = np.concatenate([[0], np.cumsum(n_ids)])
+    ends = np.concatenate([[0], np.cumsum(n_ids[codes])])
+    own = np.concatenate([[0], np.cumsum(n_words[chosen])])
+    seq, limits = unit_texts(ids[ragged(first[codes], n_ids[codes])], ends[own], units)
+    place = float(mix(np.array([block.number + 1], np.uint64))[0] >> np.uint64(11)) / (1 << 53)
+    columns = [
+        pa.array([place]), pa.array([len(input_windows(limits)[0])]),
+        pa.array([squeeze(seq.astype(np.uint8))], pa.binary()),
+        pa.array([squeeze(np.diff(limits))], pa.binary()),
+    ]
+    return [pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in LEARNED.split(", ")])]
+
+
+def _shuffled(batches, end: float):
+    """Blocks that are learned from together: units, bounds and the places where they begin and
+    where the next ones do (``end`` for the last)."""
+    held, n, begin = [], 0, 0.0
+
+    def joined():
+        sizes = np.concatenate([z for _, z in held])
+        return np.concatenate([u for u, _ in held]).astype(np.int64), np.concatenate([[0], np.cumsum(sizes)])
+
+    for batch in batches:
+        for k in range(batch.num_rows):
+            row = batch.slice(k, 1).to_pylist()[0]
+            if n >= SHUFFLED:
+                yield *joined(), begin, row["place"]
+                held, n = [], 0
+            begin = begin if held else row["place"]
+            held.append((spread(row["units"], np.uint8), spread(row["sizes"], np.int64)))
+            n += len(held[-1][0])
+    if held:
+        yield *joined(), begin, end
+
+
+def _added(rows) -> pa.RecordBatch | None:
+    """One row for rows of (windows, windows x steps, windows x state)."""
+    n, steps, flat = 0, 0.0, 0.0
+    for row in rows:
+        n, steps = n + row["n"], steps + row["steps"]
+        flat = flat + np.frombuffer(row["flat"], np.float64)
+    if not n:
+        return None
+    columns = [pa.array([n]), pa.array([steps]), pa.array([flat.tobytes()], pa.binary())]
+    return pa.RecordBatch.from_arrays(columns, names=["n", "steps", "flat"])
+
+
+def fit(learned: DataFrame, steps: int) -> tuple[Model, int]:
+    """The model after every window of ``learned`` (see ``_learned_block``), and how many windows
+    it learned from. Blocks come in the order of their places; the rate falls with the place."""
+    n = learned.agg(F.sum("windows").alias("n")).first()["n"] or 0
+    state, seen, alone = State.fresh(), 0, max(1, steps) * BATCH
+    if not n:
+        return Model(state.weights), 0
+    passes = -(-alone // n)
+    rounds = max(0, math.ceil(math.log2(n / (2 * alone))))
+    edges = [0.0, *(0.5**k for k in range(rounds, -1, -1))]
+    schema = "n long, steps double, flat binary"
+
+    for low, high in zip(edges, edges[1:], strict=False):
+        flat, before = state.flat(), state.steps
+
+        def learn(batches, flat=flat, before=before, low=low, high=high):
+            own, windows = State.of(flat, before), 0
+            for units, bounds, begin, end in _shuffled(batches, high):
+                number = len(input_windows(bounds)[0])
+                if number == n:
+                    begin = low
+                start, each = own.steps, passes * -(-number // BATCH)
+
+                def rate(k, start=start, each=each, begin=begin, end=end):
+                    place = begin + (end - begin) * (k - start) / (each + 1)
+                    return RATE * min(1.0, k / CLIMB) * (1 - place)
+
+                own.learn(units, bounds, np.random.default_rng(int(begin * (1 << 53))), rate, passes)
+                windows += number
+            if windows:
+                row = {"n": windows, "steps": own.steps * windows, "flat": (own.flat() * windows).tobytes()}
+                yield _added([row])
+
+        def add(batches):
+            made = _added(row for batch in batches for row in batch.to_pylist())
+            if made is not None:
+                yield made
+
+        some = learned.filter((F.col("place") >= low) & (F.col("place") < high))
+        if not low:
+            some = some.repartition(1)
+        some = some.sortWithinPartitions("place").mapInArrow(learn, schema)
+        if low:
+            some = some.repartition(ADDERS).mapInArrow(add, schema)
+        total = _added(r.asDict() for r in some.collect())  # at most ADDERS rows
+        if total is not None:
+            row = total.to_pylist()[0]
+            state = State.of(np.frombuffer(row["flat"], np.float64) / row["n"], row["steps"] / row["n"])
+            seen += row["n"]
+    return Model(state.weights), seen
+
+
+def _score_block(block: Block, answers: pa.Table, ranges: int, known, model, units) -> list:
+    words, counts, n_ids, ids = _answered(block, answers, ranges, units)
     n, v = known
     each = np.log10((counts + 1) / (n + v + 1))
     base = sums(each[words.codes], words.bounds) + each[words.end]
@@ -277,7 +397,7 @@ RESULT = (
 
 
 def score_texts(
-    docs: DataFrame, train_texts: int = TRAIN_TEXTS, steps: int = STEPS, path: str | None = None
+    docs: DataFrame, train_texts: int | None = None, steps: int = STEPS, path: str | None = None
 ) -> DataFrame:
     """Scores of every row of ``docs`` (doc_id, text), learned from the rows whose crc32(doc_id)
     mod 7 is not 2.
@@ -290,9 +410,19 @@ def score_texts(
     text is only its end; a row without doc_id is neither learned from nor held out; rows that
     repeat are learned from and answered each; without training rows nothing is known and the
     model stays as it was drawn. Other columns are ignored; an empty table gives an empty result.
+
+    The model learns from all training texts, in ``steps`` steps or as many more as that takes;
+    ``train_texts`` is for trials: only the texts whose hashed id comes first, about so many.
     """
     path = path or public_tokenizers.path("word_bpe_49k.json")
-    blocks = stored_blocks(docs)
+    if train_texts is None:
+        blocks = stored_blocks(docs)
+    else:
+        key, learns = F.xxhash64("doc_id"), F.coalesce(fold(FOLDS) != HELD_OUT, F.lit(False))
+        first = docs.filter(learns).select(key.alias("k")).orderBy("k").limit(train_texts)
+        last = first.agg(F.max("k").alias("k")).first()["k"]
+        chosen = learns & (key <= F.lit(last)) if last is not None else F.lit(False)
+        blocks = stored_blocks(docs.withColumn("chosen", chosen), carry=("chosen",))
     ranges = range_count(blocks, 0.2)
     answers = stage(word_answers(word_lists(blocks, ranges), ranges, path), "answers")
     known = answers.filter("block = -1").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).first()
@@ -305,17 +435,12 @@ def score_texts(
     ends_word = np.zeros(size, bool)
     ends_word[[i for t, i in own.library.get_vocab().items() if t.endswith("</w>")]] = True
     units = Units.of(counts, starts, once, ends_word)
-    learned = docs.select("doc_id", "text").filter(fold(FOLDS) != HELD_OUT)
-    sample = learned.orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(train_texts)
-    texts = pc.ascii_lower(pc.fill_null(sample.select("text").toArrow()["text"], "").combine_chunks())
-    bounds, codes, distinct = coded_words(texts.cast(pa.string()))
-    numbers = own.find(distinct.to_pylist())[codes] if len(codes) else np.zeros(0, np.int64)
-    n_ids = own.bounds[numbers + 1] - own.bounds[numbers]
-    ids = own.ids[ragged(own.bounds[numbers], n_ids)]
-    at = np.concatenate([[0], np.cumsum(n_ids)])[bounds]
-    seq, limits = unit_texts(ids, at, units)
-    model: Model = train(seq, limits, steps)
+    answers = answers.filter("block >= 0")
+    learned = with_answers(
+        blocks, answers, lambda block, table: _learned_block(block, table, ranges, units), LEARNED
+    )
+    model, _ = fit(stage(learned, "learned"), steps)
     return with_answers(
-        blocks, answers.filter("block >= 0"),
+        blocks, answers,
         lambda block, table: _score_block(block, table, ranges, (n, v), model, units), RESULT,
     )
