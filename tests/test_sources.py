@@ -157,6 +157,47 @@ def test_no_feature_is_lost(spark, tmp_path):
     assert lines["broken"]["error_message"] and lines["cut"]["rejected"] == 1
 
 
+def test_odd_files_are_never_one_row(spark, tmp_path, monkeypatch):
+    """Read with splits far smaller than the files, and without reading any file whole."""
+    def whole(*_):
+        raise AssertionError("a file was read as one row")
+
+    monkeypatch.setattr(fi, "_documents", whole)
+    many = [feature({"HOUSENUM": str(k), "ST_NAME": 'A "Feature" {ST', "l": [{"a": 1}, {"b": "}"}]})
+            for k in range(60)]
+    turned = [{"geometry": f["geometry"], "properties": f["properties"], "type": f["type"]} for f in many]
+    kinds = [{**f, "properties": {**f["properties"], "kind": "Feature"}} for f in many]
+    nulls = [*many[:30], {"type": "Feature", "properties": {"HOUSENUM": "1"}, "geometry": None},
+             {"type": "Feature", "properties": None, "geometry": many[0]["geometry"]}, *many[30:]]
+    texts = {
+        "last": json.dumps({"type": "FeatureCollection", "features": turned, "crs": {"a": [1]}}),
+        "lines": "\n".join(map(json.dumps, turned)),
+        "kinds": json.dumps({"features": kinds, "type": "FeatureCollection"}, indent=1),
+        "nulls": json.dumps({"type": "FeatureCollection", "features": nulls}),
+        "bent": "\n".join([*map(json.dumps, turned[:20]), json.dumps(turned[20])[:-9],
+                           *map(json.dumps, turned[21:])]),
+    }
+    for name, text in texts.items():
+        (tmp_path / f"{name}-addresses-county.geojson").write_text(text)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    try:
+        features, rejects = fi.read_feature_files(spark, str(tmp_path))
+        rows = features.select("_file", F.to_json("feature.properties").alias("p"), "source_order").collect()
+        refused = [r["_file"] for r in rejects.collect()]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    found = {name: [] for name in texts}
+    for r in sorted(rows, key=lambda r: r["source_order"]):
+        found[r["_file"].rsplit("/", 1)[-1].split("-")[0]].append((json.loads(r["p"] or "null") or {}).get("HOUSENUM"))
+    want = [str(k) for k in range(60)]
+    assert found["last"] == found["lines"] == found["kinds"] == want
+    assert found["nulls"] == [*want[:30], "1", None, *want[30:]]
+    assert found["bent"] == [*want[:20], *want[21:]]
+    assert len(refused) == 1 and "bent" in refused[0]
+    assert fi.read_address_geojson(spark, str(tmp_path), state="OH").count() == 60 * 5 - 1
+
+
 def test_county_flavour(spark, tmp_path):
     features = [
         feature({"number": 44.5, "street": "MAIN ST", "region": "OHIO", "flag": True}),
