@@ -105,13 +105,15 @@ def filtered_search(
     extra: dict[str, Column] | None = None,
     totals: bool = True,
     helpers: dict[str, Column] | None = None,
+    unmatched: bool = False,
 ) -> DataFrame:
     """Rows meeting each query's conditions: one page per query and the total.
 
     ``needles``: lower-cased strings every match must hold in ``haystack``; they
     find the candidates. ``condition`` is the full test over the columns of both
     sides. ``helpers`` are row columns computed once for the tests, ``extra``
-    columns of a match. Equal queries are answered once.
+    columns of a match. Equal queries are answered once. ``unmatched`` also names the
+    queries without any match, in a row with total 0 and no answer.
     """
     fields = [c for c in queries.columns if c != "qid"]
     asked = queries.withColumn("question", F.to_json(F.struct(*fields)))
@@ -130,6 +132,10 @@ def filtered_search(
         page = counts.join(page, "question", "left")
     else:
         page = page.withColumn("total", F.lit(None).cast("long"))
+    if unmatched:
+        page = distinct.select("question").join(page, "question", "left")
+        if totals:
+            page = page.fillna(0, ["total"])
     found = spread_join(asked.select("qid", "question"), page, ["question"], "qid")
     # a page past the end still tells the total, in a row without an answer
     return found.select("qid", "total", F.explode_outer("answers").alias("a")).select(
@@ -179,19 +185,22 @@ def _haystack(*names: str) -> Column:
 
 
 def search_zips(
-    queries: DataFrame, zips: DataFrame, k: int = 50, offset: int = 0, wildcards: bool = False
+    queries: DataFrame, zips: DataFrame, k: int = 50, offset: int = 0, wildcards: bool = False,
+    unmatched: bool = False,
 ) -> DataFrame:
     """queries (qid, city, state): city name contains, state equal; by city, ZIP."""
     q = _with(queries, {"city": "string", "state": "string"})
     test = _holds("city_name", "q_city", wildcards) & _equals(F.col("state_code"), F.col("q_state"))
     order = [F.col("city_name").asc_nulls_last(), F.col("zip_code")]
     return filtered_search(
-        q, zips, _haystack("city_name"), _literal(_list("q_city"), wildcards), test, order, k, offset
+        q, zips, _haystack("city_name"), _literal(_list("q_city"), wildcards), test, order, k, offset,
+        unmatched=unmatched,
     )
 
 
 def search_cities(
-    queries: DataFrame, cities: DataFrame, k: int = 10, offset: int = 0, wildcards: bool = False
+    queries: DataFrame, cities: DataFrame, k: int = 10, offset: int = 0, wildcards: bool = False,
+    unmatched: bool = False,
 ) -> DataFrame:
     """queries (qid, q, city, state, county, min_pop, lat, lng, radius_km).
 
@@ -219,11 +228,14 @@ def search_cities(
     order = [ranked, F.col("population").desc_nulls_last(), F.col("id")]
     hay = _haystack("city_ascii", "city", "county_name")
     needles = _literal(_list("q_q", "q_city", "q_county"), wildcards)
-    return filtered_search(q, cities, hay, needles, test, order, k, offset)
+    return filtered_search(
+        q, cities, hay, needles, test, order, k, offset, unmatched=unmatched
+    )
 
 
 def search_states(
-    queries: DataFrame, states: DataFrame, k: int = 50, offset: int = 0, wildcards: bool = False
+    queries: DataFrame, states: DataFrame, k: int = 50, offset: int = 0, wildcards: bool = False,
+    unmatched: bool = False,
 ) -> DataFrame:
     """queries (qid, name, abbr, region, division); by name."""
     q = _with(
@@ -238,12 +250,13 @@ def search_states(
     order = [F.col("state_name").asc_nulls_last(), F.col("id")]
     return filtered_search(
         q, states, _haystack("state_name"), _literal(_list("q_name"), wildcards), test, order, k,
-        offset,
+        offset, unmatched=unmatched,
     )
 
 
 def search_counties(
-    queries: DataFrame, counties: DataFrame, k: int = 100, offset: int = 0, wildcards: bool = False
+    queries: DataFrame, counties: DataFrame, k: int = 100, offset: int = 0, wildcards: bool = False,
+    unmatched: bool = False,
 ) -> DataFrame:
     """queries (qid, name, min_addresses, max_addresses); largest first."""
     q = _with(queries, {"name": "string", "min_addresses": "int", "max_addresses": "int"})
@@ -254,7 +267,7 @@ def search_counties(
     order = [count.desc_nulls_first(), F.col("county_name"), F.col("id")]
     return filtered_search(
         q, counties, _haystack("county_name"), _literal(_list("q_name"), wildcards), test, order,
-        k, offset,
+        k, offset, unmatched=unmatched,
     )
 
 
@@ -289,6 +302,7 @@ def relevance(tokens: Column, wildcards: bool = False) -> Column:
 def search_addresses(
     queries: DataFrame, addresses: DataFrame, k: int = 50, offset: int = 0, totals: bool = True,
     wildcards: bool = False,
+    unmatched: bool = False,
 ) -> DataFrame:
     """queries (qid, q, county, city, postcode, street, lat, lng, radius_km).
 
@@ -332,7 +346,7 @@ def search_addresses(
         q, addresses, F.concat_ws("\n", *(f"_{c}" for c in _FIELDS)), needles, test, order, k,
         offset, {"relevance_score": relevance(F.col("q_words"), wildcards), "distance_km": near},
         totals,
-        {f"_{c}": F.lower(c) for c in _FIELDS},
+        {f"_{c}": F.lower(c) for c in _FIELDS}, unmatched,
     )
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import lexicon as lx
+from ..functions.text import row_limit
 
 _SUMS = ("calls", "billable", "time_ms", "timed", "ok_200", "ok_300", "errors")
 
@@ -43,9 +44,13 @@ def _mean_ms() -> Column:
     return F.coalesce(F.try_divide(F.sum("time_ms"), F.sum("timed")), F.lit(0.0)).cast("double")
 
 
-def since(usage: DataFrame, as_of: str, days: int) -> DataFrame:
-    """Rows from ``days`` days before the date on; reaches the parquet scan."""
-    start = F.date_sub(F.lit(as_of).cast("date"), days).cast("timestamp_ntz")
+def since(usage: DataFrame, as_of: str, days: int | None, limit: str | None = None) -> DataFrame:
+    """Rows from ``days`` days before the date on, 30 if none are given; reaches the parquet
+    scan. ``limit`` names the row limit (see ``row_limit``) that holds for the administrators'
+    reports; what users see of their own has no upper limit."""
+    asked = F.lit(days).cast("int")
+    asked = row_limit(asked, limit) if limit else F.when(asked > 0, asked).otherwise(30)
+    start = F.date_sub(F.lit(as_of).cast("date"), asked).cast("timestamp_ntz")
     return usage.filter(F.col("created_at") >= start)
 
 
@@ -92,7 +97,7 @@ def user_metrics(usage: DataFrame, as_of: str, days: int = 30) -> DataFrame:
     """Per user: totals, by endpoint and by day, told apart by ``level``."""
     u, e, d = F.col("user_id"), F.col("endpoint"), F.col("date")
     return (
-        daily_rollup(since(usage, as_of, days))
+        daily_rollup(since(usage, as_of, days, "days"))
         .groupingSets([[u], [u, e], [u, d]], u, e, d)
         .agg(F.grouping_id().alias("_set"), *_report())
         .withColumn("level", _level({3: "total", 1: "endpoint", 2: "date"}))
@@ -103,7 +108,7 @@ def user_metrics(usage: DataFrame, as_of: str, days: int = 30) -> DataFrame:
 def system_analytics(usage: DataFrame, as_of: str, days: int = 30) -> DataFrame:
     """The same over all users."""
     e, d = F.col("endpoint"), F.col("date")
-    rolled = daily_rollup(since(usage, as_of, days)).groupBy("endpoint", "date")
+    rolled = daily_rollup(since(usage, as_of, days, "days")).groupBy("endpoint", "date")
     rolled = rolled.agg(*(F.sum(c).alias(c) for c in _SUMS))
     return (
         rolled.groupingSets([[], [e], [d]], e, d)

@@ -54,6 +54,25 @@ def search_zips(t):
     )
 
 
+@query(
+    "f23_search_zips_of_all",
+    f"""
+with q as ({_ZIP_QUERIES}),
+r as (select q.qid, z.zip_code, z.city_name, count(z.zip_code) over (partition by q.qid) as total,
+             row_number() over (partition by q.qid order by z.city_name, z.zip_code) as rank
+      from q left join zips z on contains(lower(z.city_name), lower(q.city))
+        and (coalesce(q.state, '') = '' or q.state = z.state_code))
+select qid, total, cast(case when total > 0 then rank end as int) as rank, zip_code, city_name
+from r where rank <= 20""",
+    ("zips",),
+)
+def search_zips_of_all(t):
+    asked = _asked(t, _ZIP_QUERIES, "supplier")
+    return se.search_zips(asked, t.zips, 20, unmatched=True).select(
+        "qid", "total", "rank", "zip_code", "city_name"
+    )
+
+
 _CITY_QUERIES = """
 select c_custkey as qid,
        case when c_custkey % 3 = 0 then concat('city ', cast(c_custkey % 25 as varchar(10)), ' ')

@@ -336,6 +336,24 @@ def geocode_summary(t):
     return gc.geocode_summary(gc.geocode(t.questions.select("qid", "q"), address_rows(t), 50))
 
 
+@query(
+    "f22_geocode_summary_of_all",
+    f"""{_GEOCODED},
+named as (select distinct qid from questions)
+select n.qid, search_method, count(*) filter (where is_exact) as exact_count,
+       count(*) filter (where not is_exact) as fallback_count, min(tier) as best_tier,
+       case when count(*) filter (where not is_exact) > 0 then
+         case search_method when 'component' then 'nearby addresses (street/city match)'
+              else min(t.part) end end as fallback_query
+from named n left join geocoded g on n.qid = g.qid left join texts t on g.qid = t.qid
+group by n.qid, search_method""",
+    ("questions", "address_lines"),
+)
+def geocode_summary_of_all(t):
+    answers = gc.geocode(t.questions.select("qid", "q"), address_rows(t), 50)
+    return gc.geocode_summary(answers, t.questions)
+
+
 @query(
     "f14_search_with_fallback",
     """
