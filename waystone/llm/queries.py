@@ -7,13 +7,18 @@ from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import (
+    centroids,
+    checks,
     languages,
+    linededup,
     neardup,
     packing,
     quality,
     scoring,
+    spelling,
     subwords,
     suffixdedup,
     token_counts,
@@ -83,13 +88,32 @@ def op10_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return languages.identify(table(spark, sf_dir, "documents"))
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings"))
+
+
+def op13_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = linededup.remove_lines(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256")
+    )
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_pack, op2_near_duplicates, op3_score, op4_quality, op5_subwords, op6_warc, op7_top_k,
-        op8_token_counts, op9_remove_repeats, op10_languages,
+        op8_token_counts, op9_remove_repeats, op10_languages, op11_spelling, op12_centroids, op13_lines,
     )
 }
 
 #: DuckDB SQL for the rows; the others are tested against brute force in tests/llm.
-CHECKS: dict[str, str] = {}
+CHECKS: dict[str, str] = {
+    "op11_spelling": checks.SPELLING,
+    "op12_centroids": checks.centroid_sql(),
+    "op13_lines": checks.LINES,
+}
