@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import geo
@@ -76,6 +77,39 @@ def read_zip_csv(t):
     )
 
 
+# Every third name holds a line break, a separator and quotes; one file, one header.
+_BROKEN_NAME = "concat(city_name, chr(10), 'North; \"', cast(k as varchar(10)), '\"')"
+
+
+@query(
+    "s01_zip_csv_line_breaks",
+    f"""
+select zip_code, case when k % 3 = 0 then {_BROKEN_NAME} else city_name end as city_name,
+       round(lat, 4) as latitude, row_number() over (order by k) as place
+from zips where k % 70 <> 9""",
+    ("zips",),
+)
+def zip_csv_line_breaks(t):
+    t.zips.createOrReplaceTempView("zips")
+    rows = t.spark.sql(f"select {_BROKEN_NAME} as broken, * from zips")
+    quoted = F.concat(F.lit('"'), F.replace("broken", F.lit('"'), F.lit('""')), F.lit('"'))
+    spot = F.concat_ws(", ", F.col("lat").cast("string"), F.col("lng").cast("string"))
+    cells = [
+        "zip_code", F.when(F.col("k") % 3 == 0, quoted).otherwise(F.col("city_name")), "state_code",
+        *[F.lit("")] * 13, F.when(F.col("k") % 70 == 9, "41.2").otherwise(spot),
+    ]
+    header = t.spark.range(1).select(F.lit(-1).cast("bigint").alias("k"), F.lit(";".join(fi.ZIP_COLUMNS)).alias("value"))
+    lines = header.union(rows.select(F.col("k").cast("bigint"), F.concat_ws(";", *cells).alias("value")))
+    path = scratch_path(t.spark, "zip-csv")  # one small file on purpose, in order
+    lines.repartition(1).sortWithinPartitions("k").select("value").write.text(path)
+    good, _ = fi.read_zip_csv(t.spark, path)
+    order = Window.partitionBy("source_order.file").orderBy("source_order")
+    return good.select(
+        "zip_code", "city_name", F.col("latitude").cast("double").alias("latitude"),
+        F.row_number().over(order).cast("bigint").alias("place"),
+    )
+
+
 @query(
     "s02_zip_rejects",
     f"""
@@ -203,7 +237,8 @@ select a.*, id % 4 as kind, id % 37 = 0 as no_street, id % 41 = 0 as is_line fro
 where id % 40 = 0"""
 
 
-def _feature_lines(t):
+def _feature_lines(t, turned: bool = False):
+    """``turned``: members in another order, and the feature mark as a value too."""
     t.addresses.createOrReplaceTempView("addresses")
     rows = t.spark.sql(_FEATURE_ROWS)
     kind = F.col("kind")
@@ -228,11 +263,15 @@ def _feature_lines(t):
     shape = F.when(
         F.col("is_line"), F.lit('{"type":"LineString","coordinates":[[1,2],[3,4]]}')
     ).otherwise(spot)
-    return rows.select(
-        F.concat(F.lit('{ "type": "Feature", "properties": '), props, F.lit(', "geometry": '),
-                 shape, F.lit("}")).alias("value"),
-        "county", "id",
+    line = F.concat(
+        F.lit('{ "type": "Feature", "properties": '), props, F.lit(', "geometry": '), shape, F.lit("}")
     )
+    if turned:
+        line = F.concat(
+            F.lit('{"geometry": '), shape, F.lit(', "properties": {"kind": "Feature", '),
+            F.substr(props, F.lit(2)), F.lit(', "type": "Feature"}'),
+        )
+    return rows.select(line.alias("value"), "county", "id")
 
 
 def _collection(batches):
@@ -276,6 +315,25 @@ def read_address_collection(t):
     return rows.select("hash", "district", "region", "county", "latitude", "longitude")
 
 
+# The same features with their type last and the feature mark among the properties.
+@query(
+    "s05_read_odd_collection",
+    f"""
+with {_DATASET_ROWS.strip()},
+u as (select * from rows_ union all select * from rows_ where id % 40 = 0)
+select concat(house_number, '|', street, '|', unit, '|', city, '|', postcode) as hash,
+       district, region, 'Hamilton' as county, round(latitude, 4) as latitude,
+       round(longitude, 4) as longitude from u""",
+    ("addresses",),
+)
+def read_odd_collection(t):
+    path = scratch_path(t.spark, "hamilton")
+    lines = _feature_lines(t, turned=True).select("value")
+    lines.mapInPandas(_collection, "value string").write.text(path)
+    rows = fi.read_address_geojson(t.spark, path, "dataset", county="Hamilton", state="OH")
+    return rows.select("hash", "district", "region", "county", "latitude", "longitude")
+
+
 # Newline-delimited: every 29th line is cut off, every 31st carries its own hash.
 @query(
     "s06_read_address_lines",

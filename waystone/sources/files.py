@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from ..functions import geo
 from ..functions.props import members, pick_prop, prop_text
 from ..functions.text import address_hash, county_from_path, title_words, trim_ws
+from ..operators.stage import stage
+from .csvlines import read_records
+from .scanning import scanned
 
 # Fixed values. Column order of the input files.
 ZIP_COLUMNS = (
@@ -57,19 +60,27 @@ def _source_order() -> Column:
 
 def _csv(spark, path, columns, sep, multi_line) -> DataFrame:
     schema = ", ".join(f"{c} string" for c in columns) + ", _corrupt string"
-    return (
-        spark.read.schema(schema)
-        .options(sep=sep, header=True, quote='"', escape='"', multiLine=multi_line,
-                 mode="PERMISSIVE", columnNameOfCorruptRecord="_corrupt", enforceSchema=True)
-        .csv(path)
-        .select(
-            *columns,
-            "_corrupt",
-            F.col("_metadata.file_path").alias("_file"),
-            F.col("_metadata.file_block_start").alias("_start"),
+    options = {"sep": sep, "quote": '"', "escape": '"', "mode": "PERMISSIVE",
+               "columnNameOfCorruptRecord": "_corrupt"}
+    if multi_line is None:
+        records = read_records(spark, path, sep)
+        read = F.explode(F.array(F.from_csv("text", schema, options)))
+        at = F.struct(F.col("_file").alias("file"), F.col("_start").alias("start"), "row")
+        rows = records.select(read.alias("r"), at.alias("source_order")).select("r.*", "source_order")
+    else:
+        rows = (
+            spark.read.schema(schema)
+            .options(**options, header=True, multiLine=multi_line, enforceSchema=True)
+            .csv(path)
+            .select(
+                *columns,
+                "_corrupt",
+                F.col("_metadata.file_path").alias("_file"),
+                F.col("_metadata.file_block_start").alias("_start"),
+            )
+            .withColumn("source_order", _source_order())
         )
-        .select(*(F.coalesce(c, F.lit("")).alias(c) for c in columns), "_corrupt", _source_order())
-    )
+    return rows.select(*(F.coalesce(c, F.lit("")).alias(c) for c in columns), "_corrupt", "source_order")
 
 
 def _is_true(c: str) -> Column:
@@ -85,12 +96,13 @@ def _comma_list(c: str) -> Column:
 
 
 def read_zip_csv(
-    spark: SparkSession, path: str, multi_line: bool = True
+    spark: SparkSession, path: str, multi_line: bool | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """';'-separated ZIP points -> (good rows, rejected rows with a reason).
 
     Rows need all 17 fields, readable numbers and weights, and a "lat, lng"
-    point. ``multi_line=False`` lets big files be split.
+    point. Quoted fields may hold line breaks, and big files are split nevertheless;
+    ``multi_line=True`` reads each file in one task instead, ``False`` takes each line as a row.
     """
     raw = _csv(spark, path, ZIP_COLUMNS, ";", multi_line)
     spot = F.split(trim_ws(F.col("geo_point")), ",")
@@ -139,8 +151,9 @@ def read_zip_csv(
     return good, rejects
 
 
-def read_city_csv(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
-    """City CSV, plain or gzip. Unreadable numbers become 0; short rows are left out."""
+def read_city_csv(spark: SparkSession, path: str, multi_line: bool | None = None) -> DataFrame:
+    """City CSV, plain or gzip. Unreadable numbers become 0; short rows are left out.
+    ``multi_line`` as in ``read_zip_csv``."""
     raw = _csv(spark, path, CITY_COLUMNS, ",", multi_line)
     # Extra fields are allowed, so only rows with too few fields are dropped.
     fields = F.size(F.split("_corrupt", r',(?=(?:[^"]*"[^"]*")*[^"]*\z)', -1))
@@ -174,6 +187,9 @@ def _schema(properties: str, coordinates: str) -> str:
     )
 
 
+#: Names of odd files that are sent to every task, at most.
+LISTED = 50_000
+
 # Free-form members stay variants; they are read by name later.
 FREE = ("variant", "variant")
 
@@ -193,9 +209,9 @@ def read_feature_files(
     """Features of files, plain or gzip, with members in any order -> (features, rejects).
 
     Files are cut behind each ``"Feature"`` type mark, so a large file is read piece by piece
-    (and split if it is not compressed). The pieces of a file in which any is not the rest of a
+    (and split if it is not compressed). A file in which any piece is not the rest of a
     whole feature (``type`` comes later, the mark is also a value, something is broken)
-    or which has none are put together again by ``scanned``, which holds one feature at a time.
+    or which has none is read by ``scanned``, chunk by chunk and chunks side by side.
     A member that is null is there. Rejects (file, reason, text) hold every part of a file that
     is no feature. ``types``: column types of properties and coordinates; ``whole_files`` reads
     all files as documents, each in one row.
@@ -207,227 +223,37 @@ def read_feature_files(
 
 def features_of(pieces: DataFrame, types: tuple[str, str] = FREE) -> tuple[DataFrame, DataFrame]:
     """Raw pieces (see ``feature_pieces``) -> (features, rejects)."""
-    spark = pieces.sparkSession
-    opens = F.ltrim("value").startswith("{")
-    # as variants, in which a member that is null differs from one that is missing
-    feature = F.from_json(
-        F.concat(F.lit('{"type":"Feature"'), F.col("value")),
-        "type string, properties variant, geometry variant",
-    )
-    whole = F.explode(F.array(F.struct(opens.alias("opens"), feature.alias("f"))))
-    judged = pieces.select("_file", whole.alias("p")).select(
-        "_file",
-        F.col("p.opens").alias("opens"),
-        (F.col("p.f.properties").isNotNull() & F.col("p.f.geometry").isNotNull()).alias("good"),
+    # only names of members are read here; null if the text is no object
+    names = F.json_object_keys(F.concat(F.lit('{"type":"Feature"'), F.col("value")))
+    good = F.array_contains(names, "properties") & F.array_contains(names, "geometry")
+    judged = pieces.filter(~_opens()).select("_file", F.coalesce(good, F.lit(False)).alias("good"))
+    files = pieces.select("_file").distinct().join(
+        judged.groupBy("_file").agg(
+            F.count_if("good").alias("good"), F.count_if(~F.col("good")).alias("bad")
+        ), "_file", "left",
     )
-    files = judged.groupBy("_file").agg(
-        F.count_if(~F.col("opens") & F.col("good")).alias("good"),
-        F.count_if(~F.col("opens") & ~F.col("good")).alias("bad"),
-    )
-    # names of files, of which the driver has the list anyway
-    odd = [r["_file"] for r in files.filter("bad > 0 or good = 0").select("_file").collect()]
-    if not odd:
-        nothing = spark.createDataFrame([], "_file string, reason string, text string")
+    odd = stage(files.filter("bad > 0 or coalesce(good, 0) = 0").select("_file"), "odd-files")
+    number = odd.count()
+    if not number:
+        nothing = pieces.sparkSession.createDataFrame([], "_file string, reason string, text string")
         return parse_pieces(pieces, types), nothing
-    plain = parse_pieces(pieces.filter(~F.col("_file").isin(odd)), types)
-    rest, rejects = parse_scanned(scanned(pieces.filter(F.col("_file").isin(odd))), types)
+    if number > LISTED:  # too many to send to every task: all are scanned, with the same rows
+        return parse_scanned(scanned(pieces), types)
+    odd = F.broadcast(odd)
+    plain = parse_pieces(pieces.join(odd, "_file", "left_anti"), types)
+    rest, rejects = parse_scanned(scanned(pieces.join(odd, "_file", "left_semi")), types)
     return plain.unionByName(rest), rejects
 
 
-def scanned(pieces: DataFrame) -> DataFrame:
-    """Pieces (see ``feature_pieces``) -> (_file, row, text): the members of collections and the
-    other outermost objects of each file, in their order and with members in any order. Parts
-    that are cut or broken come as they are, or in pieces behind their marks; a file
-    without any object is one row without text. A task goes through a file from piece to piece
-    and holds one object at a time, however large the file is."""
-    schema = "_file string, row bigint, text string"
-
-    # All in one closure, so that Python workers need not import this package.
-    def run(batches):
-        import re
-
-        import pyarrow as pa
-
-        token = re.compile(r'"(?:[^"\\\n]|\\[^\n])*"|[{}\[\]:,\n"]|[^\s{}\[\]:,"]+')
-        names = ["_file", "row", "text"]
-
-        class Scan:
-            def __init__(self):
-                self.carry, self.held, self.out = "", [], []
-                self.stack, self.before, self.key = [], "", ""
-                self.inside = self.any = False  # in the features of a collection; anything found
-                self.base, self.stray = 0, ""
-                self.after = False  # behind the features of a collection
-                self.bad = False  # in a string without an end
-
-            def emit(self):
-                self.out.append("".join(self.held))
-                self.held, self.any = [], True
-
-            def broken(self):
-                """What is held is no object: its pieces behind the marks, or all of it."""
-                text = "".join(self.held)
-                self.held = []
-                parts = text.split('"Feature"')[1:]
-                if parts:
-                    self.out += ['{"type":"Feature"' + x for x in parts]
-                elif text.strip():
-                    self.out.append(text)
-                self.any = self.any or bool(text.strip())
-                del self.stack[self.base:]
-
-            def strayed(self):
-                if self.stray.strip("\ufeff\x1e \t\r"):
-                    self.out.append(self.stray)
-                self.stray = ""
-
-            def feed(self, chunk, last=False):
-                text, at = self.carry + chunk, 0
-                self.carry = ""
-                for m in token.finditer(text):
-                    t = m.group()
-                    if not last and (t == '"' or m.end() == len(text) and t[0] not in '{}[]:,\n"'):
-                        if t != '"' or "\n" not in text[m.start():]:
-                            self.carry = text[m.start():]  # the rest of it is still to come
-                            if self.open():
-                                self.held.append(text[at:m.start()])
-                            return
-                    gap, at = text[at:m.start()], m.end()
-                    if self.open():
-                        self.held.append(gap)
-                    self.step(t)
-                if self.open():
-                    self.held.append(text[at:])
-
-            def open(self):
-                return len(self.stack) > self.base
-
-            def step(self, t):
-                if self.open():
-                    self.within(t)
-                elif self.inside:
-                    self.among(t)
-                elif t == "{":
-                    self.strayed()
-                    self.begin()
-                elif t == "\n":
-                    self.strayed()
-                elif t not in "[],":
-                    self.stray += t
-                if t != "\n":
-                    self.before = t
-
-            def begin(self):
-                self.stack.append("{")
-                self.held = ["{"]
-
-            def among(self, t):
-                """Between the features of a collection."""
-                if t == "{":
-                    self.strayed()
-                    self.begin()
-                elif t == "]":
-                    self.strayed()
-                    # the rest of the collection is held to find its end, not as an object
-                    self.inside, self.base = False, 0
-                    self.stack, self.after = ["{"], True
-                    self.held = []
-                elif t == ",":
-                    self.strayed()
-                elif t != "\n":
-                    self.stray += t
-
-            def within(self, t):
-                misplaced = t == "{" and not self.bad and (
-                    self.before not in (":", "[", ",") or self.before == "," and self.stack[-1] == "{"
-                )
-                if misplaced or self.bad and t == "\n":
-                    if self.after:
-                        self.held, self.stack = [], []
-                    else:
-                        self.broken()
-                    self.after = self.bad = False
-                    if misplaced:
-                        self.begin()
-                    return
-                self.held.append(t)
-                self.bad = self.bad or t == '"'
-                if self.bad:
-                    return
-                if t in "{[":
-                    top = len(self.stack) == 1 and self.base == 0
-                    if t == "[" and top and self.before == ":" and self.key == '"features"':
-                        self.held, self.stack = [], ["{", "["]
-                        self.inside, self.base, self.any, self.after = True, 2, True, False
-                        return
-                    self.stack.append(t)
-                elif t in "}]":
-                    if self.stack[-1] != ("{" if t == "}" else "["):
-                        self.broken()
-                        return
-                    self.stack.pop()
-                    if not self.open():
-                        if self.after:
-                            self.held, self.after = [], False
-                        else:
-                            self.emit()
-                elif t == ":" and len(self.stack) == 1:
-                    self.key = self.before
-                if self.after:
-                    self.held = []
-
-            def end(self):
-                if self.after:
-                    self.carry, self.held, self.stack = "", [], []
-                elif self.open():  # it is cut
-                    self.held.append(self.carry)
-                    self.broken()
-                else:
-                    self.feed("", last=True)
-                if self.any:
-                    self.strayed()
-                else:
-                    self.out = [None]
-
-        def rows(file, start, texts):
-            n = len(texts)
-            columns = [pa.array([file] * n, pa.string()),
-                       pa.array(range(start, start + n), pa.int64()), pa.array(texts, pa.string())]
-            return pa.RecordBatch.from_arrays(columns, names=names)
-
-        file, scan, given, first = None, None, 0, True
-        for batch in batches:
-            for k in range(batch.num_rows):
-                name, value = (batch.column(c)[k].as_py() for c in ("_file", "value"))
-                if name != file:
-                    if scan is not None:
-                        scan.end()
-                        yield rows(file, given, scan.out)
-                    file, scan, given, first = name, Scan(), 0, True
-                scan.feed(value if first else '"Feature"' + value)
-                first = False
-                if len(scan.out) >= 1000:
-                    yield rows(file, given, scan.out)
-                    given += len(scan.out)
-                    scan.out = []
-        if scan is not None:
-            scan.end()
-            yield rows(file, given, scan.out)
-
-    ordered = pieces.withColumn("_row", F.monotonically_increasing_id())
-    dealt = ordered.repartition("_file").sortWithinPartitions("_file", "_start", "_row")
-    return dealt.select("_file", "value").mapInArrow(run, schema)
-
-
 def parse_scanned(texts: DataFrame, types: tuple[str, str] = FREE) -> tuple[DataFrame, DataFrame]:
     """Objects of files (see ``scanned``) -> (features, rejects)."""
     feature = F.explode(F.array(F.struct(F.from_json("text", _schema(*types)).alias("f"))))
-    rows = texts.select("_file", "row", "text", feature.alias("p"))
+    rows = texts.select("_file", "chunk", "row", "text", feature.alias("p"))
     found = F.col("p.f")
     good = F.coalesce(found["type"] == "Feature", F.lit(False)) & (
         found["properties"].isNotNull() | found["geometry"].isNotNull()
     )
-    order = F.struct(F.col("_file").alias("file"), F.lit(0).cast("bigint").alias("start"), "row")
+    order = F.struct(F.col("_file").alias("file"), F.col("chunk").alias("start"), "row")
     features = rows.filter(good).select(found.alias("feature"), "_file", order.alias("source_order"))
     rejects = rows.filter(~good).select(
         "_file",
@@ -500,10 +326,14 @@ def feature_pieces(reader, path: str | list[str]) -> DataFrame:
     )
 
 
+def _opens() -> Column:
+    """The piece before the first mark opens the file and holds no feature."""
+    return F.ltrim("value").startswith("{")
+
+
 def parse_pieces(pieces: DataFrame, types: tuple[str, str] = FREE) -> DataFrame:
     ordered = pieces.select("value", "_file", _source_order())
-    # The piece before the first mark opens the file and holds no feature.
-    rest = ordered.filter(~F.ltrim("value").startswith("{"))
+    rest = ordered.filter(~_opens())
     text = F.concat(F.lit('{"type":"Feature"'), F.col("value"))
     # Through a generator, so that a piece is parsed once for all later uses.
     parsed = F.explode(F.array(F.from_json(text, _schema(*types))))
