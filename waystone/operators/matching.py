@@ -1,7 +1,8 @@
-"""Substring search for many needles at once, as an equi-join on three-letter pieces.
+"""Search for many needles at once, as an equi-join on three-letter pieces and other keys.
 
-A text can only contain a needle if it contains every three-letter piece of it.
-Each needle is looked up under its rarest piece; every hit is checked again by
+A text can only contain a needle if it contains every three-letter piece of it; it can only
+match an equality, a range or a circle if it has one of the keys that cover it. Each needle is
+looked up the way that the fewest texts are behind; every hit is checked again by
 the caller. Counts are kept per hash bucket of the pieces, so the table of
 counts has a proven size limit and may be broadcast, and pieces held by many
 texts are cut into chunks, so that no task receives all texts of a common piece.
@@ -16,22 +17,47 @@ BUCKETS = 65536  # a broadcast table has at most this many rows, and one more
 CHUNK = 200_000  # texts per (piece, chunk) group
 
 
+Path = tuple[Column, Column]  # (keys a query asks for, keys a text has)
+
+
 def _bucket(piece: str) -> Column:
-    return F.expr(f"if({piece} = '', -1, cast(pmod(xxhash64({piece}), {BUCKETS}) as int))")
+    return F.expr(f"if({piece} = '*', -1, cast(pmod(xxhash64({piece}), {BUCKETS}) as int))")
+
 
+def tagged(tag: str, value: Column) -> Column:
+    """A key of a path; longer than any piece, so that it never equals one."""
+    return F.concat(F.lit(f"\u0001{tag}=="), value.cast("string"))
 
-def _with_pieces(texts: DataFrame, text: str) -> DataFrame:
-    """One row per distinct piece of the text, and one with the empty piece.
+
+def _with_keys(texts: DataFrame, text: str, paths: list[Path], sizes: tuple[int, ...]) -> DataFrame:
+    """One row per distinct key of the text: its pieces, its keys of the paths, and ``*``.
 
     A piece is taken at its first position only, which keeps it unique without
     grouping.
     """
-    return (
-        texts.withColumn("_i", F.expr(f"explode(sequence(0, greatest(length({text}) - 2, 0)))"))
-        .withColumn("_piece", F.expr(f"if(_i = 0, '', substring({text}, _i, 3))"))
-        .filter(f"_i = 0 or instr({text}, _piece) = _i")
-        .drop("_i")
-    )
+    held = F.array_compact(F.flatten(F.array(*(h for _, h in paths)))) if paths else F.array().cast("array<string>")
+    texts = texts.withColumn("_held", held)
+
+    def pieces(size: int, first: str) -> DataFrame:
+        last = f"greatest(length({text}) - {size - 1}, 0)"
+        places = f"explode(if({first} > {last}, array(), sequence({first}, {last})))"
+        return (
+            texts.withColumn("_i", F.expr(places))
+            .withColumn(
+                "_piece",
+                F.expr(
+                    f"case when _i > 0 then substring({text}, _i, {size}) when _i = 0 then '*'"
+                    " else _held[-_i - 1] end"
+                ),
+            )
+            .filter(f"_i <= 0 or instr({text}, _piece) = _i")
+            .drop("_i", "_held")
+        )
+
+    found = pieces(3, "-size(_held)")
+    for size in sizes:
+        found = found.union(pieces(size, "1"))
+    return found
 
 
 def containment_candidates(
@@ -40,43 +66,73 @@ def containment_candidates(
     text: str,
     required: Column,
     on: tuple[str, ...] = (),
+    paths: list[Path] | None = None,
 ) -> DataFrame:
-    """Rows of ``needles`` joined with the ``texts`` rows that may contain them.
+    """Rows of ``needles`` joined with the ``texts`` rows that may match them.
 
     ``required`` is an array column of lower-cased strings that must all occur
-    in ``text``; the caller still has to check them.  ``on`` are equal columns
-    of both sides.  Needles without any piece meet every text, in chunks.
+    in ``text``; the caller still has to check them. ``on`` are equal columns
+    of both sides.
+
+    Each needle goes its cheapest way, measured by the number of texts behind it: one of its
+    three-letter pieces, or one of the ``paths``. A path names keys that every match must have
+    one of (null if the needle asks nothing there) and the keys a text has; a text has at most
+    one of the keys that a needle asks for. A needle without any of these is looked up under a
+    word of one or two letters; only one that asks nothing at all meets every text, as its
+    answer does.
     """
+    paths = paths or []
+    pieces = F.expr(
+        "array_distinct(flatten(transform(filter(_required, s -> length(s) >= 3), "
+        "s -> transform(sequence(1, length(s) - 2), i -> substring(s, i, 3)))))"
+    )
+    short = F.expr("array_distinct(filter(_required, s -> length(s) between 1 and 2))")
+    asked = needles.withColumn("_id", F.struct(*needles.columns)).withColumn("_required", required)
+    of_paths = F.array(*(F.array_distinct(a) for a, _ in paths)) if paths else F.array().cast("array<array<string>>")
+    ways = F.concat(
+        F.transform("_pieces", lambda p: F.array(p)),
+        F.filter(of_paths, lambda keys: keys.isNotNull() & (F.size(keys) > 0)),
+    )
+    asked = asked.withColumn("_pieces", pieces).withColumn("_short", short).withColumn("_ways", ways)
+    asked = asked.select("_id", "_short", "_ways")
+    few = F.col("_ways") == F.array().cast("array<array<string>>")
+    sizes = [
+        size for size in (1, 2)
+        if not asked.filter(few & F.exists("_short", lambda s: F.length(s) == size)).isEmpty()
+    ]
+    fallback = F.when(F.size("_short") > 0, F.transform("_short", lambda s: F.array(s))).otherwise(
+        F.array(F.array(F.lit("*")))
+    )
+    ways = F.posexplode(F.when(few, fallback).otherwise(F.col("_ways")))
+    keys = (
+        asked.select("_id", ways.alias("_way", "_keys"))
+        .select("_id", "_way", F.explode("_keys").alias("_piece"))
+        .withColumn("_b", _bucket("_piece"))
+    )
     counts = (
-        _with_pieces(texts.select(text), text)
+        _with_keys(texts, text, paths, sizes)
         .groupBy(_bucket("_piece").alias("_b"))
         .agg(F.count("*").alias("_df"))
     )
-    pieces = F.expr(
-        "flatten(transform(filter(_required, s -> length(s) >= 3), "
-        "s -> transform(sequence(1, length(s) - 2), i -> substring(s, i, 3))))"
-    )
-    asked = (
-        needles.withColumn("_id", F.struct(*needles.columns))
-        .withColumn("_required", required)
-        .withColumn("_pieces", F.array_distinct(pieces))
-        .withColumn(
-            "_piece", F.expr("explode(if(size(_pieces) > 0, _pieces, array('')))")
-        )
-        .select("_id", "_piece", _bucket("_piece").alias("_b"))
-    )
-    # A piece that no text holds (count 0) proves that the needle has no match.
+    # A way that no text is behind (count 0) proves that the needle has no match.
     anchors = (
-        asked.join(F.broadcast(counts), "_b", "left")
+        keys.join(F.broadcast(counts), "_b", "left")
+        .groupBy("_id", "_way")
+        .agg(
+            F.coalesce(F.sum("_df"), F.lit(0)).alias("_cost"),
+            F.sort_array(F.collect_list(F.struct("_piece", "_b", "_df"))).alias("_keys"),
+        )
         .groupBy("_id")
-        .agg(F.min(F.struct(F.coalesce("_df", F.lit(0)).alias("_df"), "_piece", "_b")).alias("_a"))
-        .filter("_a._df > 0")
-        .select("_id.*", "_a._piece", "_a._b", F.ceil(F.col("_a._df") / CHUNK).alias("_chunks"))
+        .agg(F.min(F.struct("_cost", "_keys")).alias("_a"))
+        .select("_id.*", F.explode("_a._keys").alias("_k"))
+        .filter("_k._df > 0")
+        .select("*", "_k._piece", "_k._b", F.ceil(F.col("_k._df") / CHUNK).alias("_chunks"))
+        .drop("_k")
     )
     wanted = anchors.select("_b", "_chunks").distinct()
     columns = [c for c in texts.columns if c not in on]
     posted = (
-        _with_pieces(texts, text)
+        _with_keys(texts, text, paths, sizes)
         .withColumn("_b", _bucket("_piece"))
         .join(F.broadcast(wanted), "_b")
         .withColumn("_chunk", F.pmod(F.xxhash64(*texts.columns), F.col("_chunks")))

@@ -9,9 +9,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geo
-from ..functions.text import contains_text, county_key, strip_unit, words
+from ..functions.text import contains_text, county_key, row_limit, strip_unit, words
+from . import cells
 from .geocode import SEP, ranked_lists
-from .matching import containment_candidates
+from .matching import Path, containment_candidates, tagged
+from .stage import stage
 from .topk import spread_join, top_k_per_query
 
 # ------------------------------------------------------------ lookups by key
@@ -106,23 +108,34 @@ def filtered_search(
     totals: bool = True,
     helpers: dict[str, Column] | None = None,
     unmatched: bool = False,
+    paths: list[Path] | None = None,
 ) -> DataFrame:
     """Rows meeting each query's conditions: one page per query and the total.
 
-    ``needles``: lower-cased strings every match must hold in ``haystack``; they
-    find the candidates. ``condition`` is the full test over the columns of both
-    sides. ``helpers`` are row columns computed once for the tests, ``extra``
-    columns of a match. Equal queries are answered once. ``unmatched`` also names the
-    queries without any match, in a row with total 0 and no answer.
+    ``needles``: lower-cased strings every match must hold in ``haystack``; they and the
+    ``paths`` (see ``containment_candidates``) find the candidates. ``condition`` is the full
+    test over the columns of both sides. ``helpers`` are row columns computed once for the
+    tests, ``extra`` columns of a match. Equal queries are answered once. A query's own
+    ``q_limit`` and ``q_offset``, where given, take the place of ``k`` and ``offset``.
+    ``unmatched`` also names the queries without any match, in a row with total 0 and no answer.
     """
     fields = [c for c in queries.columns if c != "qid"]
     asked = queries.withColumn("question", F.to_json(F.struct(*fields)))
     distinct = asked.drop("qid").dropDuplicates(["question"]).withColumn("_needles", needles)
+    start, last = F.lit(offset), F.lit(offset + k)
+    longest = offset + k
+    if "q_limit" in fields:
+        start = F.coalesce("q_offset", F.lit(offset))
+        last = start + F.coalesce("q_limit", F.lit(k))
+        # a constant bound cuts lists before the shuffle
+        longest = distinct.agg(F.max(last)).first()[0] or longest
     texts = rows.withColumns(helpers or {}).withColumn("_hay", haystack)
-    hits = containment_candidates(distinct, texts, "_hay", F.col("_needles")).filter(condition)
+    hits = containment_candidates(distinct, texts, "_hay", F.col("_needles"), paths=paths)
+    hits = hits.filter(condition)
     for name, value in (extra or {}).items():
         hits = hits.withColumn(name, value)
-    page = top_k_per_query(hits, ["question"], order, offset + k).filter(F.col("rank") > offset)
+    page = top_k_per_query(hits, ["question"], order, longest)
+    page = page.filter((F.col("rank") > start) & (F.col("rank") <= last))
     columns = [*rows.columns, *(extra or {})]
     page = page.groupBy("question").agg(
         F.array_sort(F.collect_list(F.struct("rank", *columns))).alias("answers")
@@ -143,6 +156,42 @@ def filtered_search(
     )
 
 
+# ------------------------------------------------------------ ways to candidates
+
+
+def _equal_path(tag: str, asked: Column, held: Column) -> Path:
+    given = asked.isNotNull() & (asked != "")
+    return F.when(given, F.array(tagged(tag, asked))), F.array(tagged(tag, held))
+
+
+def _bucket_of(number: Column) -> Column:
+    """Numbers by powers of two; all below 1 in one bucket."""
+    return F.floor(F.log2(F.greatest(number.cast("double"), F.lit(0.5)))).cast("int")
+
+
+def _range_path(tag: str, low: Column, high: Column, held: Column) -> Path:
+    """``low`` and ``high`` (0: not asked) bound a number."""
+    first = F.when(low > 0, _bucket_of(low)).otherwise(-1)
+    last = F.when(high > 0, _bucket_of(high)).otherwise(64)
+    keys = F.transform(F.sequence(first, F.greatest(first, last)), lambda b: tagged(tag, b))
+    return F.when((low > 0) | (high > 0), keys), F.array(tagged(tag, _bucket_of(held)))
+
+
+def _circle_path(
+    queries: DataFrame, lat: str, lng: str, radius: str, row_lat: str, row_lng: str
+) -> Path:
+    """Cells of a circle (``q_`` columns), on the levels that the queries use."""
+    q_lat, q_lng, r = F.col(lat), F.col(lng), F.col(radius)
+    given = q_lat.isNotNull() & q_lng.isNotNull() & (r > 0)
+    used = queries.select(F.when(given, cells.level_of(r)).alias("_level"))
+    levels = cells.levels_asked(used, "_level")
+    asked = F.when(given, cells.cover(q_lat, q_lng, r))
+    held = cells.keys_at(F.col(row_lat), F.col(row_lng), levels)
+    return (
+        F.transform(asked, lambda c: tagged("cell", c)), F.transform(held, lambda c: tagged("cell", c))
+    )
+
+
 def _given(name: str) -> Column:
     return F.col(name).isNotNull() & (F.col(name) != "")
 
@@ -152,20 +201,34 @@ def _holds(field: str, asked: str, wildcards: bool = False) -> Column:
     return ~_given(asked) | contains_text(F.col(field), F.col(asked), wildcards)
 
 
+def _circled() -> Column:
+    """A place and a radius above 0 are asked for."""
+    place = F.col("q_lat").isNotNull() & F.col("q_lng").isNotNull()
+    return place & (F.coalesce("q_radius_km", F.lit(0.0)) > 0)
+
+
 def _equals(field: Column, asked: Column) -> Column:
     return asked.isNull() | (asked == "") | (field == asked)
 
 
-def _with(queries: DataFrame, columns: dict[str, str]) -> DataFrame:
-    """The known query fields, renamed with ``q_`` so they cannot clash with rows."""
+def _with(queries: DataFrame, columns: dict[str, str], kind: str) -> DataFrame:
+    """The known query fields, renamed with ``q_`` so they cannot clash with rows; a query's own
+    limit and offset follow the rule of ``kind``."""
     present = set(queries.columns)
-    return queries.select(
+    if "limit" in present:
+        columns = columns | {"limit": "int", "offset": "int"}
+    known = queries.select(
         "qid",
         *(
             (F.col(c) if c in present else F.lit(None)).cast(t).alias(f"q_{c}")
             for c, t in columns.items()
         ),
     )
+    if "limit" not in present:
+        return known
+    return known.withColumn("q_limit", row_limit(F.col("q_limit"), kind)).withColumn(
+        "q_offset", F.greatest(F.coalesce("q_offset", F.lit(0)), F.lit(0))
+    )
 
 
 def _list(*names: str) -> Column:
@@ -189,12 +252,12 @@ def search_zips(
     unmatched: bool = False,
 ) -> DataFrame:
     """queries (qid, city, state): city name contains, state equal; by city, ZIP."""
-    q = _with(queries, {"city": "string", "state": "string"})
+    q = _with(queries, {"city": "string", "state": "string"}, "zips")
     test = _holds("city_name", "q_city", wildcards) & _equals(F.col("state_code"), F.col("q_state"))
     order = [F.col("city_name").asc_nulls_last(), F.col("zip_code")]
     return filtered_search(
         q, zips, _haystack("city_name"), _literal(_list("q_city"), wildcards), test, order, k, offset,
-        unmatched=unmatched,
+        unmatched=unmatched, paths=[_equal_path("state", F.col("q_state"), F.col("state_code"))],
     )
 
 
@@ -210,6 +273,7 @@ def search_cities(
         queries,
         {"q": "string", "city": "string", "state": "string", "county": "string",
          "min_pop": "int", "lat": "double", "lng": "double", "radius_km": "double"},
+        "cities",
     )
     state = F.col("q_state")
     by_id = F.col("state_id") == F.upper(state)
@@ -222,14 +286,27 @@ def search_cities(
         & (~_given("q_state") | by_id | ((F.length(state) != 2) & by_name))
         & _holds("county_name", "q_county", wildcards)
         & (no_floor | (F.col("population") >= F.col("q_min_pop")))
-        & (F.col("q_lat").isNull() | F.col("q_radius_km").isNull() | (km <= F.col("q_radius_km")))
+        & (~_circled() | (km <= F.col("q_radius_km")))
     )
     ranked = F.when(F.col("ranking") > 0, F.col("ranking")).otherwise(999999)
     order = [ranked, F.col("population").desc_nulls_last(), F.col("id")]
     hay = _haystack("city_ascii", "city", "county_name")
     needles = _literal(_list("q_q", "q_city", "q_county"), wildcards)
+    # a state's name that is also its id is one key
+    by_name_key = F.when(F.upper("state_name") != F.col("state_id"), tagged("name", F.lower("state_name")))
+    by_id_key = tagged("id", F.upper(state))
+    states = F.when(F.length(state) == 2, F.array(by_id_key)).otherwise(
+        F.array(by_id_key, tagged("name", F.lower(state)))
+    )
+    held = F.array_compact(F.array(tagged("id", F.col("state_id")), by_name_key))
+    floor = F.coalesce("q_min_pop", F.lit(0))
+    paths = [
+        (F.when(_given("q_state"), states), held),
+        _range_path("pop", floor, F.lit(0), F.col("population")),
+        _circle_path(q, "q_lat", "q_lng", "q_radius_km", "lat", "lng"),
+    ]
     return filtered_search(
-        q, cities, hay, needles, test, order, k, offset, unmatched=unmatched
+        q, cities, hay, needles, test, order, k, offset, unmatched=unmatched, paths=paths
     )
 
 
@@ -239,7 +316,8 @@ def search_states(
 ) -> DataFrame:
     """queries (qid, name, abbr, region, division); by name."""
     q = _with(
-        queries, {"name": "string", "abbr": "string", "region": "string", "division": "string"}
+        queries, {"name": "string", "abbr": "string", "region": "string", "division": "string"},
+        "states",
     )
     test = (
         _holds("state_name", "q_name", wildcards)
@@ -251,6 +329,11 @@ def search_states(
     return filtered_search(
         q, states, _haystack("state_name"), _literal(_list("q_name"), wildcards), test, order, k,
         offset, unmatched=unmatched,
+        paths=[
+            _equal_path("abbr", F.upper("q_abbr"), F.upper("state_abbr")),
+            _equal_path("region", F.col("q_region"), F.col("region")),
+            _equal_path("division", F.col("q_division"), F.col("division")),
+        ],
     )
 
 
@@ -259,7 +342,9 @@ def search_counties(
     unmatched: bool = False,
 ) -> DataFrame:
     """queries (qid, name, min_addresses, max_addresses); largest first."""
-    q = _with(queries, {"name": "string", "min_addresses": "int", "max_addresses": "int"})
+    q = _with(
+        queries, {"name": "string", "min_addresses": "int", "max_addresses": "int"}, "counties"
+    )
     low, high = F.coalesce("q_min_addresses", F.lit(0)), F.coalesce("q_max_addresses", F.lit(0))
     count = F.col("address_count")
     named = _holds("county_name", "q_name", wildcards)
@@ -267,7 +352,7 @@ def search_counties(
     order = [count.desc_nulls_first(), F.col("county_name"), F.col("id")]
     return filtered_search(
         q, counties, _haystack("county_name"), _literal(_list("q_name"), wildcards), test, order,
-        k, offset, unmatched=unmatched,
+        k, offset, unmatched=unmatched, paths=[_range_path("count", low, high, count)],
     )
 
 
@@ -304,15 +389,17 @@ def search_addresses(
     wildcards: bool = False,
     unmatched: bool = False,
 ) -> DataFrame:
-    """queries (qid, q, county, city, postcode, street, lat, lng, radius_km).
+    """queries (qid, q, county, city, postcode, street, lat, lng, radius_km, limit, offset).
 
     Every word of ``q`` must occur in some field; the filters must hold as
-    well. Nearest first where a place is given, else most relevant first.
+    well. Nearest first where a place is given, else most relevant first. A query that gives
+    a place and nothing else looks as far as its last answer lies; its total is the whole table.
     """
     q = _with(
         queries,
         {"q": "string", "county": "string", "city": "string", "postcode": "string",
          "street": "string", "lat": "double", "lng": "double", "radius_km": "double"},
+        "addresses",
     )
     q = q.withColumn(
         "q_words", words(F.lower(strip_unit(F.coalesce("q_q", F.lit("")))))
@@ -330,10 +417,11 @@ def search_addresses(
         & _holds("_city", "q_city", wildcards)
         & _holds("_street", "q_street", wildcards)
         & _equals(F.col("postcode"), F.col("q_postcode"))
-        & (F.col("q_lat").isNull() | F.col("q_radius_km").isNull() | (km <= F.col("q_radius_km")))
+        & (~_circled() | (km <= F.col("q_radius_km")))
     )
-    near = F.when(F.col("q_lat").isNotNull(), F.round(km, 6))
-    score = F.when(F.col("q_lat").isNull(), F.col("relevance_score")).otherwise(0)
+    placed = F.col("q_lat").isNotNull() & F.col("q_lng").isNotNull()
+    near = F.when(placed, F.round(km, 6))
+    score = F.when(placed, 0).otherwise(F.col("relevance_score"))
     order = [
         F.col("distance_km").asc_nulls_last(),
         score.desc(),
@@ -342,12 +430,50 @@ def search_addresses(
     ]
     needles = F.concat(F.col("q_words"), _list("q_county", "q_city", "q_postcode", "q_street"))
     needles = _literal(needles, wildcards)
-    return filtered_search(
-        q, addresses, F.concat_ws("\n", *(f"_{c}" for c in _FIELDS)), needles, test, order, k,
+    given = [_given(f"q_{c}") for c in ("county", "city", "postcode", "street")]
+    alone = placed & ~_circled() & (F.size("q_words") == 0) & ~reduce(or_, given)
+    reached, whole = _reached(q, alone, addresses, k, offset)
+    paths = [
+        _equal_path("postcode", F.col("q_postcode"), F.col("postcode")),
+        _circle_path(reached, "q_lat", "q_lng", "_reach", "latitude", "longitude"),
+    ]
+    test = test & (F.col("_reach").isNull() | ~F.col("_alone") | (km <= F.col("_reach")))
+    found = filtered_search(
+        reached, addresses, F.concat_ws("\n", *(f"_{c}" for c in _FIELDS)), needles, test, order, k,
         offset, {"relevance_score": relevance(F.col("q_words"), wildcards), "distance_km": near},
         totals,
-        {f"_{c}": F.lower(c) for c in _FIELDS}, unmatched,
+        {f"_{c}": F.lower(c) for c in _FIELDS}, unmatched, paths,
     )
+    if whole is None or not totals:
+        return found
+    # what was not looked at counts too
+    all_of = reached.filter("_alone").select("qid").distinct().withColumn("_all", F.lit(whole))
+    return found.join(all_of, "qid", "left").withColumn("total", F.coalesce("_all", "total")).drop("_all")
+
+
+def _reached(
+    q: DataFrame, alone: Column, addresses: DataFrame, k: int, offset: int
+) -> tuple[DataFrame, int | None]:
+    """Queries with ``_reach``, the radius that holds their answers, and ``_alone`` where it is not
+    asked for but found; the number of addresses if there are such queries."""
+    q = q.withColumn("_alone", alone)
+    asked = F.when(_circled(), F.col("q_radius_km"))
+    if q.filter("_alone").isEmpty():
+        return q.withColumn("_reach", asked), None
+    need = offset + k
+    if "q_limit" in q.columns:
+        need = q.filter("_alone").agg(F.max(F.col("q_limit") + F.col("q_offset"))).first()[0]
+    place = F.struct("q_lat", "q_lng").alias("place")
+    spots = q.filter("_alone").select(
+        place.alias("pid"), F.col("q_lat").alias("lat"), F.col("q_lng").alias("lng")
+    ).distinct()
+    # with fewer places than asked for, rows without a place follow: all are looked at
+    reach = cells.reach_of(spots, addresses.select("latitude", "longitude"), need)
+    q = q.withColumn("pid", F.when(F.col("_alone"), place)).join(reach, "pid", "left")
+    q = q.withColumn("_reach", F.coalesce(asked, "reach")).drop("pid", "reach")
+    # read by every step of the search, so found once
+    q = stage(q, "reached")
+    return q, addresses.count()
 
 
 def zip_fallback(

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import search as se
 from ..operators import topk
 from .registry import query
+from .spatial_queries import _h
 
 
 @query(
@@ -324,6 +325,80 @@ def field_filters(t):
     return se.search_addresses(queries, rows, 10).select("qid", "total", "rank", "id")
 
 
+# Places with a radius of their own, with none, and with words or filters beside them.
+_PLACE_QUERIES = """
+select s_suppkey as qid, 38 + (s_suppkey * 37 % 400) / cast(100 as double) + 0.0011 as lat,
+       -85 + (s_suppkey * 91 % 500) / cast(100 as double) + 0.0007 as lng,
+       cast(case s_suppkey % 6 when 0 then 0.3 when 1 then 4 when 2 then 17.5 when 3 then 60 when 4 then 0
+            end as double) as radius_km,
+       case when s_suppkey % 7 = 0 then 'dr' when s_suppkey % 9 = 0 then 'oakley' end as q,
+       case when s_suppkey % 8 = 0 then concat('1', lpad(cast(s_suppkey % 150 as varchar(10)), 4, '0')) end as postcode,
+       cast(case s_suppkey % 4 when 0 then 5 when 1 then 700 when 2 then 0 end as int) as limit_,
+       cast(case when s_suppkey % 3 = 0 then 2 end as int) as offset_
+from supplier"""
+
+
+@query(
+    "f24_search_addresses_by_place",
+    f"""
+with q as ({_PLACE_QUERIES}),
+n as (select *, coalesce(offset_, 0) as first, case when limit_ > 500 then 500 when limit_ > 0 then limit_
+             else 50 end as rows_ from q),
+d as (select q.*, a.id, a.county, a.city, a.street, a.house_number, {_h("q", "a", lat2="latitude", lng2="longitude")} as h
+      from n q join address_lines a
+        on (q.q is null or contains(lower(concat_ws(' ', a.full_address, a.house_number, a.street, a.city, a.county, a.postcode)), q.q))
+       and (q.postcode is null or q.postcode = a.postcode)),
+k as (select *, 6371.0088 * 2 * atan2(sqrt(h), sqrt(greatest(1 - h, 0))) as km from d),
+r as (select *, count(*) over (partition by qid) as total,
+             row_number() over (partition by qid order by round(km, 6), county, city, street, house_number, id) as rank
+      from k where coalesce(radius_km, 0) <= 0 or km <= radius_km)
+select qid, total, cast(rank as int) as rank, id, round(round(km, 6), 4) as distance_km
+from r where rank > first and rank <= first + rows_""",
+    ("address_lines",),
+)
+def search_addresses_by_place(t):
+    asked = _asked(t, _PLACE_QUERIES, "supplier").withColumnsRenamed({"limit_": "limit", "offset_": "offset"})
+    rows = t.spread(t.address_lines.drop("suffix", "unit", "region"))
+    found = se.search_addresses(asked, rows).filter("id is not null")
+    return found.select("qid", "total", "rank", "id", F.round("distance_km", 4).alias("distance_km"))
+
+
+# One condition each: a state, a floor of the population, a circle, a short word.
+_LONE_QUERIES = """
+select k as qid, case when k % 5 = 0 then 'a' when k % 5 = 4 then '7' end as q,
+       case when k % 5 = 1 then case when k % 2 = 0 then 'oh' else 'texas' end end as state,
+       cast(case when k % 5 = 2 then k % 9 * 700 + 1 end as int) as min_pop,
+       case when k % 5 = 3 then lat end as lat, case when k % 5 = 3 then lng end as lng,
+       cast(case when k % 5 = 3 then k % 4 * 30 end as double) as radius_km,
+       cast(k % 13 * 10 as int) as limit_
+from zips"""
+
+
+@query(
+    "f25_search_cities_by_one_condition",
+    f"""
+with q as ({_LONE_QUERIES}),
+r as (select q.qid, q.limit_, c.id, count(*) over (partition by q.qid) as total,
+        row_number() over (partition by q.qid order by
+          case when ranking > 0 then ranking else 999999 end, population desc nulls last, c.id) as rank
+      from q join cities c
+        on (q.q is null or contains(lower(c.city), q.q) or contains(lower(c.city_ascii), q.q))
+       and (q.state is null or c.state_id = upper(q.state)
+            or (length(q.state) <> 2 and lower(c.state_name) = lower(q.state)))
+       and (q.min_pop is null or c.population >= q.min_pop)
+       and (q.lat is null or q.radius_km <= 0 or
+            6371 * acos(least(1, greatest(-1, cos(radians(q.lat)) * cos(radians(c.lat))
+              * cos(radians(c.lng) - radians(q.lng)) + sin(radians(q.lat)) * sin(radians(c.lat))))) <= q.radius_km))
+select qid, total, cast(rank as int) as rank, id from r
+where rank <= case when limit_ > 100 then 100 when limit_ > 0 then limit_ else 10 end""",
+    ("zips", "cities"),
+)
+def search_cities_by_one_condition(t):
+    asked = _asked(t, _LONE_QUERIES, "zips").withColumnRenamed("limit_", "limit")
+    found = se.search_cities(asked, t.cities).filter("id is not null")
+    return found.select("qid", "total", "rank", "id")
+
+
 @query(
     "f17_zip_fallback",
     """
