@@ -131,6 +131,7 @@ def _component_answers(questions: DataFrame, addresses: DataFrame, k: int) -> Da
             "name",
             F.array("spelling"),
             on=("place",),
+            short_words=False,
         )
         .filter(F.contains("name", F.col("spelling")))
         .join(spelled, ["place", "spelling"])
@@ -229,7 +230,7 @@ def _text_answers(needles: DataFrame, addresses: DataFrame, k: int) -> DataFrame
         F.lower("full_address").alias("line"), _record(addresses.columns).alias("rec")
     )
     hits = containment_candidates(
-        needles.select("needle").distinct(), texts, "line", F.array("needle")
+        needles.select("needle").distinct(), texts, "line", F.array("needle"), short_words=False
     ).filter(F.contains("line", F.col("needle")))
     lists = (
         top_k_per_query(hits, ["needle"], _rec_order(BY_LINE), k)

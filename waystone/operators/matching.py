@@ -35,28 +35,22 @@ def _with_keys(texts: DataFrame, text: str, paths: list[Path], sizes: tuple[int,
     A piece is taken at its first position only, which keeps it unique without
     grouping.
     """
-    held = F.array_compact(F.flatten(F.array(*(h for _, h in paths)))) if paths else F.array().cast("array<string>")
-    texts = texts.withColumn("_held", held)
-
-    def pieces(size: int, first: str) -> DataFrame:
-        last = f"greatest(length({text}) - {size - 1}, 0)"
-        places = f"explode(if({first} > {last}, array(), sequence({first}, {last})))"
-        return (
-            texts.withColumn("_i", F.expr(places))
-            .withColumn(
-                "_piece",
-                F.expr(
-                    f"case when _i > 0 then substring({text}, _i, {size}) when _i = 0 then '*'"
-                    " else _held[-_i - 1] end"
-                ),
-            )
-            .filter(f"_i <= 0 or instr({text}, _piece) = _i")
-            .drop("_i", "_held")
-        )
-
-    found = pieces(3, "-size(_held)")
+    first, piece = "0", f"if(_i = 0, '*', substring({text}, _i, 3))"
+    if paths:
+        texts = texts.withColumn("_held", F.array_compact(F.flatten(F.array(*(h for _, h in paths)))))
+        first, piece = "-size(_held)", f"if(_i < 0, _held[-_i - 1], {piece})"
+    found = (
+        texts.withColumn("_i", F.expr(f"explode(sequence({first}, greatest(length({text}) - 2, 0)))"))
+        .withColumn("_piece", F.expr(piece))
+        .filter(f"_i <= 0 or instr({text}, _piece) = _i")
+        .drop("_i", "_held")
+    )
     for size in sizes:
-        found = found.union(pieces(size, "1"))
+        last = f"length({text}) - {size - 1}"
+        places = f"explode(if({last} < 1, array(), sequence(1, {last})))"
+        short = texts.withColumn("_i", F.expr(places))
+        short = short.withColumn("_piece", F.expr(f"substring({text}, _i, {size})"))
+        found = found.union(short.filter(f"instr({text}, _piece) = _i").drop("_i", "_held"))
     return found
 
 
@@ -67,6 +61,7 @@ def containment_candidates(
     required: Column,
     on: tuple[str, ...] = (),
     paths: list[Path] | None = None,
+    short_words: bool = True,
 ) -> DataFrame:
     """Rows of ``needles`` joined with the ``texts`` rows that may match them.
 
@@ -78,8 +73,8 @@ def containment_candidates(
     three-letter pieces, or one of the ``paths``. A path names keys that every match must have
     one of (null if the needle asks nothing there) and the keys a text has; a text has at most
     one of the keys that a needle asks for. A needle without any of these is looked up under a
-    word of one or two letters; only one that asks nothing at all meets every text, as its
-    answer does.
+    word of one or two letters (unless ``short_words`` is off); only one that asks nothing at
+    all meets every text, as its answer does.
     """
     paths = paths or []
     pieces = F.expr(
@@ -87,6 +82,8 @@ def containment_candidates(
         "s -> transform(sequence(1, length(s) - 2), i -> substring(s, i, 3)))))"
     )
     short = F.expr("array_distinct(filter(_required, s -> length(s) between 1 and 2))")
+    if not short_words:
+        short = F.array().cast("array<string>")
     asked = needles.withColumn("_id", F.struct(*needles.columns)).withColumn("_required", required)
     of_paths = F.array(*(F.array_distinct(a) for a, _ in paths)) if paths else F.array().cast("array<array<string>>")
     ways = F.concat(
@@ -94,12 +91,14 @@ def containment_candidates(
         F.filter(of_paths, lambda keys: keys.isNotNull() & (F.size(keys) > 0)),
     )
     asked = asked.withColumn("_pieces", pieces).withColumn("_short", short).withColumn("_ways", ways)
+    few = F.size("_ways") == 0
+    sizes: tuple[int, ...] = ()
+    if short_words or paths:  # one row: which keys are asked for at all
+        of_size = [few & F.expr(f"exists(_short, s -> length(s) = {n})") for n in (1, 2)]
+        used = asked.agg(*(F.max(F.size(a) > 0) for a, _ in paths), *map(F.max, of_size)).first()
+        sizes = tuple(n for n in (1, 2) if used[len(paths) + n - 1])
+        paths = [p for p, any_query in zip(paths, used, strict=False) if any_query]
     asked = asked.select("_id", "_short", "_ways")
-    few = F.col("_ways") == F.array().cast("array<array<string>>")
-    sizes = [
-        size for size in (1, 2)
-        if not asked.filter(few & F.exists("_short", lambda s: F.length(s) == size)).isEmpty()
-    ]
     fallback = F.when(F.size("_short") > 0, F.transform("_short", lambda s: F.array(s))).otherwise(
         F.array(F.array(F.lit("*")))
     )
@@ -114,20 +113,21 @@ def containment_candidates(
         .groupBy(_bucket("_piece").alias("_b"))
         .agg(F.count("*").alias("_df"))
     )
+    counted = keys.join(F.broadcast(counts), "_b", "left").withColumn("_df", F.coalesce("_df", F.lit(0)))
+    key = F.struct("_df", "_piece", "_b")
     # A way that no text is behind (count 0) proves that the needle has no match.
-    anchors = (
-        keys.join(F.broadcast(counts), "_b", "left")
-        .groupBy("_id", "_way")
-        .agg(
-            F.coalesce(F.sum("_df"), F.lit(0)).alias("_cost"),
-            F.sort_array(F.collect_list(F.struct("_piece", "_b", "_df"))).alias("_keys"),
+    if paths:
+        cheapest = (
+            counted.groupBy("_id", "_way")
+            .agg(F.sum("_df").alias("_cost"), F.sort_array(F.collect_list(key)).alias("_keys"))
+            .groupBy("_id")
+            .agg(F.min(F.struct("_cost", "_keys")).alias("_a"))
+            .select("_id", F.explode("_a._keys").alias("_a"))
         )
-        .groupBy("_id")
-        .agg(F.min(F.struct("_cost", "_keys")).alias("_a"))
-        .select("_id.*", F.explode("_a._keys").alias("_k"))
-        .filter("_k._df > 0")
-        .select("*", "_k._piece", "_k._b", F.ceil(F.col("_k._df") / CHUNK).alias("_chunks"))
-        .drop("_k")
+    else:  # every way is one key
+        cheapest = counted.groupBy("_id").agg(F.min(key).alias("_a"))
+    anchors = cheapest.filter("_a._df > 0").select(
+        "_id.*", "_a._piece", "_a._b", F.ceil(F.col("_a._df") / CHUNK).alias("_chunks")
     )
     wanted = anchors.select("_b", "_chunks").distinct()
     columns = [c for c in texts.columns if c not in on]

@@ -492,7 +492,7 @@ def zip_fallback(
     matched = (
         containment_candidates(
             asked.select("postcode", "needle").distinct(), streets, "name",
-            F.array("needle"), on=("postcode",),
+            F.array("needle"), on=("postcode",), short_words=False,
         )
         .filter(F.contains("name", F.col("needle")))
         .withColumn("list_key", F.concat("postcode", F.lit(SEP), "name"))
@@ -536,6 +536,30 @@ def valid_radius(c: Column) -> Column:
     return (c > 0) & (c <= 100)
 
 
+def required(*columns: str) -> Column:
+    """All of the texts are given."""
+    return reduce(lambda a, b: a & b, (_given(c) for c in columns))
+
+
+def valid_number(text: Column) -> Column:
+    """A decimal number and nothing else; blanks around it are not taken."""
+    return text.rlike(r"\A[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\z")
+
+
+def valid_id(text: Column) -> Column:
+    """A whole number of 64 bits."""
+    return text.rlike(r"\A[+-]?[0-9]+\z") & text.try_cast("bigint").isNotNull()
+
+
+def place_rules(lat: str, lng: str) -> dict[str, Column]:
+    """Rules for a place given as texts; use them with ``validate``."""
+    return {
+        "Both lat and lng parameters are required": required(lat, lng),
+        "Invalid latitude value": valid_number(F.col(lat)),
+        "Invalid longitude value": valid_number(F.col(lng)),
+    }
+
+
 def validate(rows: DataFrame, rules: dict[str, Column]) -> DataFrame:
     """Add ``status``: the first rule (message -> condition) a row breaks, else 'ok'."""
     status = F.lit("ok")

@@ -466,6 +466,35 @@ def validate(t):
     return se.validate(rows, rules).select("id", "status")
 
 
+_RAW_PLACES = """
+select event_id as id,
+       case event_id % 7 when 0 then '' when 1 then null when 2 then '39.1x' when 3 then ' 39.1'
+            else cast(38 + event_id % 900 / cast(1000 as double) as varchar(20)) end as lat,
+       case event_id % 5 when 0 then '-84.' when 1 then 'west' when 2 then '.5e1' else '-84.25' end as lng,
+       case event_id % 4 when 0 then '12a' when 1 then '99999999999999999999' when 2 then ''
+            else cast(event_id as varchar(20)) end as address_id
+from events"""
+
+
+@query(
+    "f21_validate_places",
+    f"""
+with p as ({_RAW_PLACES}),
+j as (select *, '^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$' as number from p)
+select id, case when coalesce(lat, '') = '' or coalesce(lng, '') = ''
+                then 'Both lat and lng parameters are required'
+                when not regexp_matches(lat, number) then 'Invalid latitude value'
+                when not regexp_matches(lng, number) then 'Invalid longitude value'
+                when not regexp_matches(address_id, '^[0-9]{{1,18}}$') then 'Invalid address ID'
+                else 'ok' end as status
+from j""",
+)
+def validate_places(t):
+    rows = _asked(t, _RAW_PLACES, "events")
+    rules = se.place_rules("lat", "lng") | {"Invalid address ID": se.valid_id(F.col("address_id"))}
+    return se.validate(rows, rules).select("id", "status")
+
+
 @query(
     "t01_top_k_per_query",
     """

@@ -484,6 +484,22 @@ def insert_new(t):
     )
 
 
+@query(
+    "s11_insert_counts",
+    f"""
+with i as ({_INCOMING}),
+k as (select zip_code, count(*) as n from i group by zip_code)
+select cast(sum(n) as bigint) as incoming, count(*) filter (where zip_code not in (select zip_code from zips))
+         as added,
+       cast(sum(n) as bigint) - count(*) filter (where zip_code not in (select zip_code from zips)) as duplicates
+from k""",
+    ("zips",),
+)
+def insert_counts(t):
+    t.zips.createOrReplaceTempView("zips")
+    return tb.insert_counts(t.zips, t.spark.sql(_INCOMING), ["zip_code"])
+
+
 @query(
     "s12_pending_datasets",
     """
@@ -614,6 +630,39 @@ def dataset_registry(t):
     return tb.dataset_registry(events).select("id", "status", "uploaded_at")
 
 
+# A registry that the load report feeds: announced at 1, read at 2; one file holds no JSON.
+@query(
+    "s18_registry_of_loads",
+    f"""
+with {_DATASET_ROWS.strip()},
+f as (select r.*, a.county from rows_ r join addresses a on r.id = a.id),
+n as (select county, concat(house_number, '|', street, '|', unit, '|', city, '|', postcode)
+        as hash from f),
+firsts as (select hash, min(county) as county from n group by hash)
+select concat('county', right(county, 1), '-addresses-county.geojson') as id, 'completed' as status,
+       count(*) as record_count, cast(null as varchar) as error_message, 1 as uploaded_at, 2 as processed_at
+from firsts group by county
+union all
+select 'broken-addresses-county.geojson', 'failed', 0, 'no feature in this file', 1, 2""",
+    ("addresses",),
+)
+def registry_of_loads(t):
+    path = scratch_path(t.spark, "bulk")
+    name = F.concat(F.lit("county"), F.right("county", F.lit(1)), F.lit("-addresses-county.geojson"))
+    broken = t.spark.range(1).select(
+        F.lit("this is not JSON").alias("value"), F.lit("broken-addresses-county.geojson").alias("file")
+    )
+    lines = _feature_lines(t).select("value", name.alias("file")).union(broken)
+    lines.write.partitionBy("file").text(path)
+    _, report = tb.bulk_ingest(t.spark, f"{path}/*", "OH")
+    loaded = tb.load_events(report, F.lit(2))
+    announced = loaded.select(
+        "id", F.lit("pending").alias("status"), F.lit(0).cast("long").alias("record_count"),
+        F.lit(None).cast("string").alias("error_message"), F.lit(1).alias("at"),
+    )
+    return tb.dataset_registry(announced.union(loaded))
+
+
 @query(
     "p01_first_prop",
     """

@@ -41,6 +41,20 @@ def insert_new(
     return first.join(present, keys, "left_anti")
 
 
+def insert_counts(existing: DataFrame, incoming: DataFrame, keys: list[str]) -> DataFrame:
+    """What ``insert_new`` does with the incoming rows, in one row: incoming, added, duplicates.
+
+    Duplicates are rows whose key exists and further rows of a key that is new.
+    """
+    per_key = incoming.groupBy(*keys).agg(F.count("*").alias("n"))
+    present = existing.select(*keys).join(per_key.select(*keys), keys, "left_semi").distinct()
+    marked = per_key.join(present.withColumn("known", F.lit(True)), keys, "left")
+    return marked.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("incoming"),
+        F.count_if(F.col("known").isNull()).alias("added"),
+    ).withColumn("duplicates", F.col("incoming") - F.col("added"))
+
+
 def pending_datasets(manifest: DataFrame, registry: DataFrame) -> DataFrame:
     """Manifest rows (state, county) with the latest load of the same place, if any.
 
@@ -116,6 +130,13 @@ def bulk_ingest(
     return with_full_address(added), report
 
 
+def load_events(report: DataFrame, at: Column) -> DataFrame:
+    """A load report (see ``bulk_ingest``) as status events of its files, for ``dataset_registry``."""
+    return report.select(
+        F.col("file_name").alias("id"), "status", "record_count", "error_message", at.alias("at")
+    )
+
+
 def dataset_registry(events: DataFrame) -> DataFrame:
     """Status events (id, status, record_count, error_message, at) -> latest state per id.
 
