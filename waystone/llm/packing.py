@@ -27,8 +27,14 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 from tokenizers import Tokenizer  # noqa: E402
 
-#: Words a worker remembers between batches; beyond it the memory starts afresh.
-MEMORY_WORDS = 600_000
+#: Bytes of words a worker remembers between batches; beyond it the memory starts afresh.
+MEMORY_BYTES = 64 << 20
+#: What a remembered word takes besides its letters.
+WORD_BYTES = 150
+#: Parts of words that are remembered besides.
+MEMORY_PARTS = 50_000
+#: UTF-8 bytes of text that are encoded at a time.
+ENCODE_BYTES = 4 << 20
 #: Pieces of one length that are ranked together.
 RANK_GROUP = 256
 
@@ -49,15 +55,22 @@ class WordIds:
     def forget(self) -> None:
         self.place: dict[str, int] = {}
         self.bounds, self.ids = np.zeros(1, np.int64), np.zeros(0, np.uint32)
+        self.held = 0
         self.pieces: dict[str, list[int]] = {}
 
+    def ids_of(self, text: str) -> list[int]:
+        plain = text if text.isascii() and text.isprintable() else "".join(
+            self.letters[b] for b in text.encode()
+        )
+        return [t.id for t in self.library.model.tokenize(plain)]
+
     def piece(self, text: str) -> list[int]:
+        """Ids of a part of a word; other words may have it too."""
         found = self.pieces.get(text)
         if found is None:
-            plain = text if text.isascii() and text.isprintable() else "".join(
-                self.letters[b] for b in text.encode()
-            )
-            found = self.pieces[text] = [t.id for t in self.library.model.tokenize(plain)]
+            if len(self.pieces) >= MEMORY_PARTS:
+                self.pieces.clear()
+            found = self.pieces[text] = self.ids_of(text)
         return found
 
     def learn(self, fresh: list[str]) -> None:
@@ -69,7 +82,7 @@ class WordIds:
                 other.append(k)
                 continue
             parts = EASY_PIECE.findall(word.lower())
-            rows[k] = self.piece(parts[0]) if len(parts) == 1 else [
+            rows[k] = self.ids_of(parts[0]) if len(parts) == 1 else [
                 i for p in parts for i in self.piece(p)
             ]
         found = self.library.encode_batch_fast(
@@ -85,11 +98,14 @@ class WordIds:
 
     def find(self, words: list[str]) -> np.ndarray:
         fresh = [w for w in words if w not in self.place]
-        if len(self.place) + len(fresh) > MEMORY_WORDS:
+        size = sum(map(len, fresh)) + WORD_BYTES * len(fresh)
+        if self.held and self.held + size > MEMORY_BYTES:
             self.forget()
             fresh = words
+            size = sum(map(len, fresh)) + WORD_BYTES * len(fresh)
         if fresh:
             self.learn(fresh)
+            self.held += size
         return np.fromiter((self.place[w] for w in words), np.int64, len(words))
 
 
@@ -116,7 +132,7 @@ def token_pieces(docs: DataFrame, capacity: int, end_id: int, path: str) -> Data
     """Pieces of at most ``capacity`` ids; every text ends in ``end_id``."""
 
     def run(batches):
-        for batch in slices(batches):
+        for batch in slices(batches, limit=ENCODE_BYTES):
             ids, bounds = encode(texts_of(batch.column("text")), path)
             sizes = np.diff(bounds) + 1
             ends = np.cumsum(sizes)
