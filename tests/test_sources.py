@@ -265,3 +265,31 @@ def test_write_addresses_by_county(spark, tmp_path):
     back = spark.read.parquet(path)
     assert back.count() == 200
     assert back.filter("county = 'Allen'").count() == 50
+
+
+def test_usage_files_follow_the_volume(spark, tmp_path):
+    """A busy day fills several files, a quiet one a single file, and no row is lost."""
+    rows = [(i, "2024-01-01 10:00:00") for i in range(4000)] + [(i, "2024-01-02 10:00:00") for i in range(30)]
+    rows += [(9, None)]
+    usage = spark.createDataFrame(rows, "id long, created_at string").withColumn(
+        "created_at", F.to_timestamp("created_at")
+    )
+    path = str(tmp_path / "usage")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # tiny parts stay apart
+    try:
+        tb.append_usage(usage.repartition(6), path, rows_a_file=1000)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    stored = spark.read.parquet(path)
+    each = stored.select("date", "_metadata.file_path").distinct().groupBy("date").count().collect()
+    files = {str(r["date"]): r["count"] for r in each}
+    assert files["2024-01-02"] == 1 and files["None"] == 1 and 2 <= files["2024-01-01"] <= 4
+    assert stored.count() == 4031
+
+
+def test_insert_counts(spark):
+    old = spark.createDataFrame([("a",), ("a",), ("z",)], "k string")
+    new = spark.createDataFrame([("a", 1), ("b", 1), ("b", 2), ("c", 1)], "k string, v int")
+    assert tuple(tb.insert_counts(old, new, ["k"]).first()) == (4, 2, 2)
+    assert tuple(tb.insert_counts(old, new.limit(0), ["k"]).first()) == (0, 0, 0)
+    assert tb.insert_new(old, new, ["k"], F.col("v")).count() == 2

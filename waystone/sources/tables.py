@@ -150,10 +150,22 @@ def dataset_registry(events: DataFrame) -> DataFrame:
     ).drop("at")
 
 
-def append_usage(usage: DataFrame, path: str) -> None:
-    """Append metering rows to the log, one folder per day, so reports read few days."""
-    usage.withColumn("date", F.to_date("created_at")).repartition("date", F.pmod("id", F.lit(16)))\
-        .write.mode("append").partitionBy("date").parquet(path)
+def append_usage(usage: DataFrame, path: str, rows_a_file: int = 2_000_000) -> None:
+    """Append metering rows to the log, one folder per day, so reports read few days.
+
+    A day is written by as many tasks as its rows need; rows without a time go to a folder of
+    their own."""
+    dated = usage.withColumn("date", F.to_date("created_at"))
+    # one row for each day of the load
+    volume = dated.groupBy(F.col("date").alias("_day")).agg(
+        F.ceil(F.count("*") / rows_a_file).alias("_parts")
+    )
+    sized = dated.join(F.broadcast(volume), F.col("date").eqNullSafe(F.col("_day")))
+    spread = sized.withColumn("_part", F.pmod(F.xxhash64("id"), F.col("_parts")))
+    columns = [*usage.columns, "date"]
+    spread.repartition("date", "_part").select(*columns).write.mode("append").partitionBy(
+        "date"
+    ).parquet(path)
 
 
 def write_addresses(rows: DataFrame, path: str, salts: int = 16) -> None:
