@@ -6,6 +6,7 @@ import tempfile
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from waystone.llm import attention, induced, topk, warc
@@ -35,6 +36,19 @@ def test_archives(spark, split):
     assert warc.read_archives(warc.write_archives(pages.limit(0))).count() == 0
 
 
+def test_ranges_are_read_by_many_tasks(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, "u", rng.bytes(300).hex()) for i in range(400)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2)
+    files = warc.write_archives(pages)
+    n = files.selectExpr("sum(greatest(ceil(n_bytes / 4096), 1)) as n").first()[0]
+    found = warc.read_archives(files, split_bytes=4096)
+    tasks = found.rdd.getNumPartitions()
+    assert n > 16 and tasks >= min(n, spark.sparkContext.defaultParallelism)
+    busy = found.groupBy(F.spark_partition_id()).count().count()
+    assert busy >= min(n, tasks) // 2 and found.count() == 400
+
+
 def test_cut_record_is_an_error():
     with pytest.raises(ValueError):
         warc.parse(b"WARC/1.1\r\nContent-Length: 9\r\n\r\nshort")

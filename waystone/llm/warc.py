@@ -193,6 +193,10 @@ def parse(content: bytes) -> tuple[dict[str, str], bytes]:
     return headers, rest[:length]
 
 
+#: Reading of a task, where there are more ranges than twice the cores.
+TASK_BYTES = 128 << 20
+
+
 def read_archives(files: DataFrame, split_bytes: int = 4 << 20) -> DataFrame:
     """Records of the files listed in ``files`` (path, n_bytes), in parallel byte ranges.
 
@@ -203,8 +207,12 @@ def read_archives(files: DataFrame, split_bytes: int = 4 << 20) -> DataFrame:
     ranges = files.select(
         "path", "n_bytes", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("k")
     )
-    # small rows, dealt over all cores; each stands for split_bytes of reading
-    ranges = ranges.repartition("path", "k")
+    # rows are tiny but each stands for split_bytes of reading, so the number of tasks is given:
+    # else adaptive execution would merge them all into one
+    spark = files.sparkSession
+    n, size = files.agg(F.sum(last + 1), F.sum("n_bytes")).first()
+    tasks = min(n or 1, max(2 * spark.sparkContext.defaultParallelism, (size or 0) // TASK_BYTES))
+    ranges = ranges.repartition(max(int(tasks), 1))
 
     def run(batches):
         for batch in batches:
