@@ -55,6 +55,24 @@ select j.word, j.form, c.root, j.n, cast(j.n_near as bigint) as n_near, j.form_n
 from judged j join chain c on c.word = j.word and c.next is null
 """
 
+TOP_K = """
+with scaled as (
+  select vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as c, len(embedding) as width
+  from embeddings
+  where embedding is not null and vec_id is not null
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), scored as (
+  select q.vec_id as query_id, v.vec_id,
+         cast(list_sum(list_transform(list_zip(q.c, v.c), lambda p: p[1] * p[2])) as bigint) as score
+  from scaled q join scaled v on q.width = v.width and q.vec_id <> v.vec_id
+  where q.vec_id % 50 = 0
+), ranked as (
+  select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from scored
+)
+select cast(query_id as bigint) as query_id, cast(rank as integer) as rank, cast(vec_id as bigint) as vec_id, score
+from ranked where rank <= 5
+"""
+
 LINES = """
 with lines as (
   select doc_id, row, cast(generate_subscripts(parts, 1) as bigint) as pos, unnest(parts) as line

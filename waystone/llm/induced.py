@@ -5,7 +5,7 @@ names repeat, sorted recursively as a shorter text; all others follow from them
 sweeps over the alphabet. Each sweep is driven by a priority queue of tuples (first symbol,
 arrival, position, common prefix with the one before). Arrivals within a symbol come in
 order, so the queue is a run per symbol, kept on disk beyond a memory limit and read in
-chunks; a shard may be far larger than memory.
+chunks. The text, its ranks and the names of a shard are arrays in memory, so shards are kept small.
 
 Common prefixes travel with the tuples: two suffixes that follow from X and Y share
 one symbol more than X and Y, which is the least prefix met on the way from X to Y in the
