@@ -55,6 +55,28 @@ select j.word, j.form, c.root, j.n, cast(j.n_near as bigint) as n_near, j.form_n
 from judged j join chain c on c.word = j.word and c.next is null
 """
 
+WARC = """
+with own as (
+  select page_id, coalesce(html, '') as payload from pages
+), coded as (
+  select page_id, payload, cast(octet_length(encode(payload)) as bigint) as payload_bytes,
+         min(page_id) over (partition by payload) as first_id, upper(sha1(payload)) as code
+  from own
+), digits as (
+  select *, list_transform(range(40), lambda i: instr('0123456789ABCDEF', code[i + 1]) - 1) as d from coded
+), bits as (
+  select *, list_transform(range(8), lambda g: cast(
+      65536 * d[5 * g + 1] + 4096 * d[5 * g + 2] + 256 * d[5 * g + 3] + 16 * d[5 * g + 4] + d[5 * g + 5] as bigint)) as b
+  from digits
+)
+select page_id, payload_bytes,
+       array_to_string(list_transform(range(32), lambda i:
+         'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[((b[i // 4 + 1] >> (15 - 5 * (i % 4))) & 31) + 1]), '') as payload_digest,
+       case when page_id = first_id then 'response' else 'revisit' end as record_type,
+       case when page_id <> first_id then first_id end as refers_to
+from bits
+"""
+
 TOP_K = """
 with scaled as (
   select vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as c, len(embedding) as width

@@ -113,6 +113,7 @@ QUERIES: dict[str, Query] = {
 
 #: DuckDB SQL for the rows; the others are tested against brute force in tests/llm.
 CHECKS: dict[str, str] = {
+    "op6_warc": checks.WARC,
     "op7_top_k": checks.TOP_K,
     "op11_spelling": checks.SPELLING,
     "op12_centroids": checks.centroid_sql(),
