@@ -203,6 +203,28 @@ def test_near_duplicates(docs, empty, monkeypatch):
     assert neardup.near_duplicates(empty).count() == 0
 
 
+def test_near_copies_meet_few(spark):
+    """Classes of one large group of near copies are paired with one other each, not one a band."""
+    rng = np.random.default_rng(4)
+    base = [f"w{k}" for k in range(400)]
+    texts = []
+    for _ in range(120):
+        words = list(base)
+        words[int(rng.integers(400))] = f"x{int(rng.integers(10**6))}"
+        texts.append(" ".join(words))
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    drawn = neardup.sketches(rows).select(F.col("doc_id").alias("rep"), F.explode("bands").alias("band"))
+    shared = drawn.groupBy("band").agg(F.min("rep").alias("leader"), F.count("*").alias("n"))
+    members = drawn.join(shared.filter("n > 1"), "band")
+    assert neardup.first_stars(members).count() < 120
+    assert members.filter("leader <> rep").select("leader", "rep").distinct().count() > 200
+    parts = spark.createDataFrame([(k, 0 if k < 118 else k) for k in range(120)], "rep long, component long")
+    open_ones = neardup.open_stars(members, parts).collect()
+    assert open_ones and {r["b"] for r in open_ones} | {r["a"] for r in open_ones} >= {118, 119}
+    assert all(r["b"] >= 118 or r["a"] >= 118 for r in open_ones)
+    assert {r["component_id"] for r in neardup.near_duplicates(rows).collect()} == {0}
+
+
 def test_components(spark):
     edges = [(k, k + 1) for k in range(0, 40)] + [(100, 90), (100, 95), (60, 61)]
     found = neardup.components(spark.createDataFrame(edges, "a long, b long"))

@@ -7,9 +7,10 @@
 3. Pairs are compared 16 hashes at a time and dropped as soon as the posterior
    probability of the wanted similarity falls below ``MISS``; the rest is verified on
    full shingle sets.
-4. A bucket never emits all its pairs: first everybody meets the bucket's smallest id; then,
-   everybody meets the most similar class that is still in another component; at
-   last what is still in different components and plausible, each pair in one bucket only.
+4. A bucket never emits all its pairs: first every class meets one other, the smallest id of all
+   its buckets; then the smallest ids of those buckets where it is still apart from them; then
+   the most similar class that is still in another component; at last what is still in
+   different components and plausible, each pair in one bucket only.
 """
 
 from __future__ import annotations
@@ -285,6 +286,23 @@ def class_components(classes: DataFrame, links: DataFrame) -> DataFrame:
     return joined.select("rep", F.coalesce("component", "rep").alias("component"))
 
 
+def first_stars(members: DataFrame) -> DataFrame:
+    """One pair (a, b) for every class b: with the smallest id that any of its buckets holds."""
+    others = members.filter("leader <> rep").groupBy("rep").agg(F.min("leader").alias("a"))
+    return others.select("a", F.col("rep").alias("b"))
+
+
+def open_stars(members: DataFrame, parts: DataFrame) -> DataFrame:
+    """Pairs (a, b) of a bucket's smallest id with its classes in other components."""
+    tagged = members.select("band", "rep").join(parts, "rep")
+    mixed = tagged.groupBy("band").agg(
+        F.min(F.struct("rep", "component")).alias("lead"),
+        F.min("component").alias("low_c"), F.max("component").alias("high_c"),
+    ).filter("low_c < high_c").select("band", "lead")
+    apart = tagged.join(mixed, "band").filter("component <> lead.component")
+    return apart.select(F.col("lead.rep").alias("a"), F.col("rep").alias("b")).distinct()
+
+
 def unresolved_pairs(
     members: DataFrame, classes: DataFrame, parts: DataFrame, miss: float, best_only: bool
 ) -> DataFrame:
@@ -380,11 +398,13 @@ def near_duplicates(docs: DataFrame, miss: float = MISS) -> DataFrame:
         likely = pairs if tested else likely_pairs(pairs, classes, miss)
         return stage(confirmed(likely, texts), "links")
 
-    stars = members.filter("leader <> rep").select(F.col("leader").alias("a"), F.col("rep").alias("b"))
-    links = verified(stars.distinct(), False)
+    links = verified(first_stars(members), False)
     parts = stage(class_components(classes, links), "parts")
-    for best_only in (True, False):
-        found = verified(unresolved_pairs(members, classes, parts, miss, best_only), True)
+    for step in ("stars", "best", "all"):
+        if step == "stars":
+            found = verified(open_stars(members, parts), False)
+        else:
+            found = verified(unresolved_pairs(members, classes, parts, miss, step == "best"), True)
         if found.limit(1).count():  # else nothing changes
             links = links.union(found)
             parts = stage(class_components(classes, links), "parts")
