@@ -225,6 +225,26 @@ def test_near_copies_meet_few(spark):
     assert {r["component_id"] for r in neardup.near_duplicates(rows).collect()} == {0}
 
 
+def test_workers_give_memory_back(spark):
+    """A task of one operator drops what another one remembers, and its own stays."""
+    from waystone.llm import batches
+
+    dropped = []
+
+    def run(rows):
+        yield from rows
+
+    task = batches.frugal(run)
+    saved = dict(batches.REMEMBERED)
+    batches.REMEMBERED |= {"another": lambda: dropped.append(1), run.__module__: lambda: dropped.append(2)}
+    try:
+        assert list(task(iter([1, 2]))) == [1, 2] and dropped == [1]
+    finally:
+        batches.REMEMBERED.clear()
+        batches.REMEMBERED.update(saved)
+    assert packing.__name__ in batches.REMEMBERED
+
+
 def test_components(spark):
     edges = [(k, k + 1) for k in range(0, 40)] + [(100, 90), (100, 95), (60, 61)]
     found = neardup.components(spark.createDataFrame(edges, "a long, b long"))

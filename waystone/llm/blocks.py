@@ -19,7 +19,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from ..operators.stage import stage
-from .batches import SLICE_BYTES, byte_lengths, slices, texts_of
+from .batches import SLICE_BYTES, byte_lengths, frugal, slices, texts_of
 
 #: UTF-8 bytes of text in a block.
 BLOCK_BYTES = 2 << 20
@@ -37,6 +37,7 @@ def stored_blocks(
     types = dict(docs.dtypes)
     extra = "".join(f", `{c}` array<{types[c]}>" for c in carry)
 
+    @frugal
     def run(batches):
         task, number = TaskContext.get().partitionId(), 0
         pack = zstandard.ZstdCompressor(level=3)

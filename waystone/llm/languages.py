@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .batches import MIX_A, buffer_of, coded_words, mix, slices, texts_of
+from .batches import MIX_A, buffer_of, coded_words, frugal, mix, slices, texts_of
 
 #: Cells for hashed trigrams of a language; with the scripts, all that is kept of one.
 CELLS = 1 << 14
@@ -72,6 +72,7 @@ def training_counts(docs: DataFrame) -> DataFrame:
     """lang, cell, n: trigrams (and, behind them, scripts of words) of all rows of
     ``docs`` (text, lang) whose lang is known. A task adds up what it has read first."""
 
+    @frugal
     def run(batches):
         total: dict[str, np.ndarray] = {}
         for batch in slices(batches):
@@ -202,6 +203,7 @@ def predict(
     table gives an empty result; ties go to the first name.
     """
 
+    @frugal
     def run(batches):
         for batch in slices(batches):
             best, score, _, _ = label_batch(texts_of(batch.column("text")), model, penalty)
@@ -225,6 +227,7 @@ def predict(
 def spans(docs: DataFrame, model: Model, penalty: float = PENALTY) -> DataFrame:
     """Spans of one language in every text: doc_id, first_word, n_words, lang."""
 
+    @frugal
     def run(batches):
         for batch in slices(batches):
             ids = batch.column("doc_id").cast(pa.int64())

@@ -30,6 +30,7 @@ from .batches import (
     MIX_A,
     MIX_B,
     coded_words,
+    frugal,
     group_spans,
     hash_strings,
     mix,
@@ -130,6 +131,7 @@ def fixed_binary(rows: np.ndarray) -> pa.Array:
 def sketches(docs: DataFrame) -> DataFrame:
     """doc_id, key (equal for equal word sequences), n_shingles, low bytes of the hashes, bands."""
 
+    @frugal
     def run(batches):
         for batch in slices(batches):
             hashes, bounds, key = shingle_hashes(texts_of(batch.column("text")))
@@ -192,6 +194,7 @@ def likely_pairs(pairs: DataFrame, classes: DataFrame, miss: float) -> DataFrame
     joined = pairs.join(low.select(F.col("rep").alias("b"), F.col("low").alias("low_b")), "b")
     joined = joined.join(low.select(F.col("rep").alias("a"), F.col("low").alias("low_a")), "a")
 
+    @frugal
     def run(batches):
         for batch in batches:
             if batch.num_rows:
@@ -213,6 +216,7 @@ def similar(x: np.ndarray, y: np.ndarray) -> bool:
 def packed_texts(docs: DataFrame) -> DataFrame:
     """doc_id and compressed text, which is what travels through shuffles."""
 
+    @frugal
     def run(batches):
         for batch in batches:
             pack = zstandard.ZstdCompressor(level=3)
@@ -233,6 +237,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     joined = pairs.join(texts.select(F.col("rep").alias("b"), F.col("z").alias("z_b")), "b")
     joined = joined.join(texts.select(F.col("rep").alias("a"), F.col("z").alias("z_a")), "a")
 
+    @frugal
     def run(batches):
         unpack = zstandard.ZstdDecompressor()
         for batch in slices(batches, "z_b", 1 << 20):
@@ -329,6 +334,7 @@ def unresolved_pairs(
     keys = ["band", "_i", "_j"]
     grouped = dealt.repartition(*keys).sortWithinPartitions(*keys, "rep")
 
+    @frugal
     def run(batches):
         for table in whole_groups(batches, keys):
             a, b = _compare(table, keys, miss, best_only)

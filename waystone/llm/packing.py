@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.stage import stage
-from .batches import coded_words, ragged, slices, texts_of
+from .batches import REMEMBERED, coded_words, frugal, ragged, slices, texts_of
 from .bpe import EASY, EASY_PIECE, byte_letters
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -114,6 +114,9 @@ def word_ids(path: str) -> WordIds:
     return WordIds(path)
 
 
+REMEMBERED[__name__] = word_ids.cache_clear
+
+
 def encode(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts in a row, and their bounds by text."""
     own = word_ids(path)
@@ -131,6 +134,7 @@ def encode(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
 def token_pieces(docs: DataFrame, capacity: int, end_id: int, path: str) -> DataFrame:
     """Pieces of at most ``capacity`` ids; every text ends in ``end_id``."""
 
+    @frugal
     def run(batches):
         for batch in slices(batches, limit=ENCODE_BYTES):
             ids, bounds = encode(texts_of(batch.column("text")), path)

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.stage import stage
-from .batches import coded_words, slices, sums, texts_of
+from .batches import coded_words, frugal, slices, sums, texts_of
 
 #: Labelled rows that the trees are trained on: those whose hashed id comes first.
 TRAIN_ROWS = 20_000
@@ -105,6 +105,7 @@ def statistics(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, the five counts and ``features`` of every row of ``docs`` (doc_id, text); columns
     in ``carry`` come along."""
 
+    @frugal
     def run(batches):
         for batch in slices(batches):
             counts, features = describe(texts_of(batch.column("text")))
@@ -260,6 +261,7 @@ def quality_rules(
     described = stage(statistics(docs, carry), "statistics")
     forest = fit(described, labels, train_rows)
 
+    @frugal
     def run(batches):
         for batch in batches:
             x = pc.list_flatten(batch.column("features")).to_numpy().reshape(-1, len(FEATURES))

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.stage import stage
-from .batches import MIX_A, MIX_B, mix, ragged, whole_groups
+from .batches import MIX_A, MIX_B, frugal, mix, ragged, whole_groups
 from .blocks import Block, arrow_schema, range_count, spread, squeeze, stored_blocks, unpacked, with_answers
 from .induced import suffixes
 
@@ -112,6 +112,7 @@ def from_planes(planes: np.ndarray) -> np.ndarray:
 def anchor_lists(blocks: DataFrame, ranges: int) -> DataFrame:
     """Per value range and block: its tags, and in how many of the block's documents each is."""
 
+    @frugal
     def run(batches):
         for block in unpacked(batches):
             runs = Stretches(block)
@@ -140,6 +141,7 @@ def anchor_lists(blocks: DataFrame, ranges: int) -> DataFrame:
 def anchor_answers(lists: DataFrame, ranges: int) -> DataFrame:
     """Per value range and block, for each tag: 0 in one document, 1 in more, 2 in very many."""
 
+    @frugal
     def run(batches):
         for table in whole_groups(batches, ["part"]):
             part = table["part"].to_numpy()
@@ -323,6 +325,7 @@ def least_ids(sizes: np.ndarray, ids: np.ndarray, data: np.ndarray, folder: str)
 def shard_answers(pieces: DataFrame, shards: int) -> DataFrame:
     """Per shard and block, for its contents: runs of windows and the smallest id of each run."""
 
+    @frugal
     def run(batches):
         for table in whole_groups(batches, ["shard"]):
             for a, b in _spans(table["shard"].to_numpy()):
