@@ -2,6 +2,7 @@
 
 import json
 import random
+import time
 
 import pytest
 
@@ -83,6 +84,37 @@ def test_cuts_change_nothing(seed):
         assert read(scan, chunks) == read(scan, [whole]), whole
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_objects_at_once_are_the_same_as_by_token(seed):
+    """Same rows and same states, whatever the text is and wherever it is cut."""
+    rng, fast, slow = random.Random(seed), sc.scanner(), sc.scanner(at_once=False)
+    for _ in range(400):
+        text, state = document(rng, rng.randint(0, 8)), None
+        cuts = sorted(rng.randrange(len(text) + 1) for _ in range(rng.choice([0, 1, 4])))
+        chunks = [text[a:b] for a, b in zip([0, *cuts], [*cuts, len(text)], strict=True)]
+        for k, chunk in enumerate(chunks):
+            last = k == len(chunks) - 1
+            got = fast(chunk, state, last)
+            assert got == slow(chunk, state, last), text
+            state = got[1]
+    odd = ['{"a": 1\t,"b":"\t"}', "{} {}", '{"a":NaN}', '{"features": 5} {"x":[{"features":[{}]}]}', '{"features":[{"features":[1]}]}',
+           '{"a":' + "9" * 5000 + "}", '{"a":' + "[" * 5000 + "]" * 5000 + "}", '{"a":1} {"b":2', "x {} y {", '{"\\u0066eatures":[{}]}']
+    for text in odd:
+        assert fast(text, None, False) == slow(text, None, False) and fast(text, None, True) == slow(text, None, True)
+
+
+def test_sound_features_are_not_walked_token_by_token():
+    turned = [{"geometry": {"type": "Point", "coordinates": [k, 1.5]}, "properties": {"kind": "Feature", "a": "x" * 9, "b": k},
+               "type": "Feature"} for k in range(4000)]
+    text, seconds = json.dumps({"type": "FeatureCollection", "features": turned}), []
+    for scan in (sc.scanner(), sc.scanner(at_once=False)):
+        began = time.perf_counter()
+        out, _ = scan(text, None, True)
+        seconds.append(time.perf_counter() - began)
+        assert [json.loads(t) for kind, t, _ in out if kind == "row"] == turned
+    assert seconds[0] * 2 < seconds[1]
+
+
 def test_chunks_side_by_side(spark, tmp_path, monkeypatch):
     """Files in chunks of a few pieces and splits of a few hundred bytes; some chunks run from a
     wrong state first (the layout changes within a file, objects span several chunks)."""

@@ -35,13 +35,15 @@ SCANNED = (
 KEY = ["_file", "_start", "_part"]
 
 
-def scanner(mark: str = MARK) -> Callable:
+def scanner(mark: str = MARK, at_once: bool = True) -> Callable:
     """``scan(text, state, last) -> (rows, state)``; rows are (kind, text, age).
 
     ``state`` is None at the start of a file. ``age`` counts the chunks since the text began.
     Kinds: ``row`` a finished text; ``early`` a stray text before any object of the file;
     ``object``, ``broken``, ``stray`` the end of a text that began in an earlier chunk;
     ``open`` what a later chunk finishes; ``none`` the end of a file without any object.
+    Sound objects are taken ``at_once`` by the JSON decoder, which only looks for their ends; all
+    else, and any object that may be a collection, goes token by token, with the same rows.
     All in one closure, so that Python workers need not import this package.
     """
     import json
@@ -64,6 +66,8 @@ def scanner(mark: str = MARK) -> Callable:
             self.bad = s.get("bad", False)  # in a string without an end
             self.age = s.get("age", 0)  # chunks since the open text began, 0 if in this one
             self.held, self.out, self.stray = [], [], []
+            self.trust = 64
+            self.decode = json.JSONDecoder(parse_int=len, parse_float=len).raw_decode  # no number is kept
 
         def state(self):
             return json.dumps(
@@ -113,10 +117,16 @@ def scanner(mark: str = MARK) -> Callable:
         def feed(self, chunk, last=False):
             text, at = self.carry + chunk, 0
             self.carry = ""
-            for m in token.finditer(text):
+            tokens = token.finditer(text)
+            while m := next(tokens, None):
                 t = m.group()
+                if at_once and t == "{" and not self.open():
+                    end = self.whole(text, m.start())
+                    if end:
+                        at, tokens = end, token.finditer(text, end)
+                        continue
                 if not last and (t == '"' or m.end() == len(text) and t[0] not in '{}[]:,\n"'):
-                    if t != '"' or "\n" not in text[m.start():]:
+                    if t != '"' or text.find("\n", m.start()) < 0:
                         self.carry = text[m.start():]  # the rest of it is still to come
                         if self.open():
                             self.held.append(text[at:m.start()])
@@ -128,6 +138,28 @@ def scanner(mark: str = MARK) -> Callable:
             if self.open():
                 self.held.append(text[at:])
 
+        def whole(self, text, start):
+            """Take the sound object that begins here -> its end; None if there is none."""
+            if self.after or self.bad:  # what is broken before reaches into it
+                return None
+            if self.trust < 0:  # many objects of this chunk are broken, and each trial costs
+                return None
+            try:
+                found, end = self.decode(text, start)
+            except (ValueError, RecursionError):
+                self.trust -= 8
+                return None
+            if not self.inside:
+                if "features" in found:
+                    return None
+                self.key = "x" if found else self.key
+            self.strayed()
+            self.trust += 1
+            self.held = [text[start:end]]
+            self.emit()
+            self.before = "x"
+            return end
+
         def step(self, t):
             if self.open():
                 self.within(t)
