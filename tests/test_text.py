@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from waystone.functions import lexicon as lx
 from waystone.functions import text as tx
 from waystone.functions.parse import parse_addresses
+from waystone.sources.files import dataset_name
 
 
 def apply(spark, function, values):
@@ -167,3 +168,18 @@ def test_row_limits(spark):
     assert run("addresses") == [50, 50, 7, 150, 500]
     assert run("zips") == [50, 50, 7, 50, 50]
     assert run("states") == [50, 50, 7, 150, 9999]
+
+
+def test_trimming_and_file_names_need_no_regular_expression(spark):
+    """Same texts as by the patterns, which were run for each value of each row."""
+    ends = ["", *lx.WS_CHARS, " \t ", "x", "​"]
+    texts = spark.createDataFrame([(a + "b c" + b,) for a in ends for b in ends] + [(" 　",), ("",), (None,)], "c string")
+    trimmed = texts.select("c", tx.trim_ws(F.col("c")).alias("t"), F.regexp_replace("c", rf"^{lx.WS}+|{lx.WS}+\z", "").alias("r"))
+    assert trimmed.filter("not t <=> r").isEmpty()
+    assert "regexp" not in texts.select(tx.trim_ws(F.col("c")).alias("t"))._jdf.queryExecution().toString()
+    names = {
+        "file:/d/file=a-addresses-county.geojson/part-0-x.txt": "a-addresses-county.geojson", "/d/b%20c.json": "b c.json",
+        "//part-1": "part-1", "part-2": "part-2", "/d/": "", "x/part-3/": "", "d/k_=v": "v", None: None,
+    }
+    rows = spark.createDataFrame([(n,) for n in names], "p string").select("p", dataset_name(F.col("p")).alias("n")).collect()
+    assert {r["p"]: r["n"] for r in rows} == names

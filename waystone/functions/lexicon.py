@@ -112,6 +112,8 @@ WS = (
     r"[\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}"
     r"\x{202F}\x{205F}\x{3000}]"
 )
+# The same characters, one by one.
+WS_CHARS = " \t\n\v\f\r\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 
 # Fixed values. Path fragment -> endpoint category, first match wins.
 ENDPOINTS = [

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -20,7 +23,8 @@ def _plain(number: Column) -> Column:
     return F.when(small, digits).otherwise(number.cast("string"))
 
 
-_NUMERIC = "^(BIGINT|DECIMAL|DOUBLE|FLOAT)"
+def _is_number(kind: Column) -> Column:
+    return reduce(or_, (kind.startswith(name) for name in ("BIGINT", "DECIMAL", "DOUBLE", "FLOAT")))
 
 
 def pick_prop(found: Column, names: tuple[str, ...], mode: str = "dataset") -> Column:
@@ -33,7 +37,8 @@ def pick_prop(found: Column, names: tuple[str, ...], mode: str = "dataset") -> C
     def usable(v: Column) -> Column:
         present = v.isNotNull() & ~F.is_variant_null(v)
         if mode == "county":
-            return present & F.schema_of_variant(v).rlike(f"{_NUMERIC}|^STRING$")
+            kind = F.schema_of_variant(v)
+            return present & (_is_number(kind) | (kind == "STRING"))
         return present
 
     listed = F.array(*(F.try_element_at(found, F.lit(name)) for name in names))
@@ -55,7 +60,7 @@ def prop_text(value: Column, mode: str = "dataset") -> Column:
         whole = number == F.floor(number)
         shown = F.when(whole, number.cast("decimal(38,0)").cast("string")).otherwise(_plain(number))
     return F.coalesce(
-        F.when(kind == "STRING", trim_ws(text)).when(kind.rlike(_NUMERIC), shown).otherwise(text),
+        F.when(kind == "STRING", trim_ws(text)).when(_is_number(kind), shown).otherwise(text),
         F.lit(""),
     )
 

@@ -33,7 +33,7 @@ def _set(values) -> Column:
 
 def trim_ws(c: Column) -> Column:
     """Trim every kind of white space, not only blanks."""
-    return F.regexp_replace(c, rf"^{lx.WS}+|{lx.WS}+\z", "")
+    return F.btrim(c, F.lit(lx.WS_CHARS))
 
 
 def words(c: Column) -> Column:
@@ -206,9 +206,9 @@ def key_preview(c: Column) -> Column:
 
 def county_from_path(path: Column) -> Column:
     """County name from a file name such as ``adams-addresses-county.geojson.gz``."""
-    name = F.regexp_extract(path, r"([^/]*)\z", 1)
-    for ending in ("gz", "geojson", "json"):
-        name = F.regexp_replace(name, rf"\.{ending}\z", "")
+    name = F.substring_index(path, "/", -1)
+    for ending in (".gz", ".geojson", ".json"):
+        name = F.when(name.endswith(ending), F.substr(name, F.lit(1), F.length(name) - len(ending))).otherwise(name)
     return title_words(F.regexp_extract(name, r"^[-_]*([^-_]+)", 1))
 
 

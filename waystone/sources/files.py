@@ -458,9 +458,9 @@ def address_rows(
 
 def dataset_name(path: Column) -> Column:
     """File name, or the folder's name for part files written by Spark."""
-    in_folder = F.regexp_extract(path, r"([^/]+)/part-[^/]*\z", 1)
-    own = F.regexp_extract(path, r"([^/]+)\z", 1)
-    name = F.when(in_folder != "", in_folder).otherwise(own)
+    own, last = F.substring_index(path, "/", -1), F.substring_index(path, "/", -2)
+    folder = F.when(last.contains("/"), F.substring_index(last, "/", 1)).otherwise("")
+    name = F.when(own.startswith("part-") & (folder != ""), folder).otherwise(own)
     return F.regexp_replace(F.url_decode(name), "^[a-z_]+=", "")
 
 

@@ -144,11 +144,19 @@ def scanner(mark: str = MARK, at_once: bool = True) -> Callable:
                 return None
             if self.trust < 0:  # many objects of this chunk are broken, and each trial costs
                 return None
-            try:
-                found, end = self.decode(text, start)
-            except (ValueError, RecursionError):
-                self.trust -= 8
-                return None
+            size = 4096  # an error costs a search for lines from the start of what is decoded
+            while True:
+                try:
+                    found, end = self.decode(text[start:start + size])
+                    break
+                except (ValueError, RecursionError) as e:
+                    at = getattr(e, "pos", 0)
+                    cut = at + 16 > size or getattr(e, "msg", "").startswith("Unterminated")
+                    if not cut or start + size >= len(text):
+                        self.trust -= 8
+                        return None
+                    size *= 16
+            end += start
             if not self.inside:
                 if "features" in found:
                     return None
