@@ -115,6 +115,35 @@ def test_token_counts(docs, empty):
         assert token_counts.prefix_table(text).tolist() == want
 
 
+def test_a_word_is_looked_up_once(monkeypatch):
+    """Numbers stay the words' own, also when the memory starts afresh."""
+
+    class Counted(dict):
+        asked = 0
+
+        def get(self, *args):
+            Counted.asked += 1
+            return super().get(*args)
+
+        def __getitem__(self, key):
+            Counted.asked += 1
+            return super().__getitem__(key)
+
+        def __contains__(self, key):
+            Counted.asked += 1
+            return super().__contains__(key)
+
+    path = str(public_tokenizers.path("word_bpe_49k.json"))
+    own, library = packing.WordIds(path), Tokenizer.from_file(path)
+    monkeypatch.setattr(packing, "MEMORY_BYTES", 1500)
+    for words in (["tree", "a-b", "Été"], ["a-b", "new"], ["x", "tree", "y"], [f"w{k}" for k in range(9)], ["w3", "tree"]):
+        own.place, Counted.asked = Counted(own.place), 0
+        numbers = own.find(words)
+        assert Counted.asked == len(words)
+        ids = [own.ids[own.bounds[n] : own.bounds[n + 1]].tolist() for n in numbers]
+        assert ids == [library.encode(w, add_special_tokens=False).ids for w in words]
+
+
 def test_packing(docs, empty):
     library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     found = packing.best_fit_pack(docs, capacity=256).collect()

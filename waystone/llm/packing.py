@@ -11,6 +11,7 @@ from __future__ import annotations
 import os
 import zlib
 from functools import lru_cache
+from itertools import chain, repeat
 
 import numpy as np
 import public_tokenizers
@@ -50,6 +51,7 @@ class WordIds:
         self.library = Tokenizer.from_file(path)
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.letters = {b: c for c, b in byte_letters().items()}
+        self.tokenize = self.library.model.tokenize
         self.forget()
 
     def forget(self) -> None:
@@ -62,7 +64,7 @@ class WordIds:
         plain = text if text.isascii() and text.isprintable() else "".join(
             self.letters[b] for b in text.encode()
         )
-        return [t.id for t in self.library.model.tokenize(plain)]
+        return [t.id for t in self.tokenize(plain)]
 
     def piece(self, text: str) -> list[int]:
         """Ids of a part of a word; other words may have it too."""
@@ -91,22 +93,25 @@ class WordIds:
         for k, one in zip(other, found, strict=True):
             rows[k] = one.ids
         lengths = np.fromiter(map(len, rows), np.int64, len(rows))
-        flat = np.fromiter((i for r in rows for i in r), np.uint32, int(lengths.sum()))
+        flat = np.fromiter(chain.from_iterable(rows), np.uint32, int(lengths.sum()))
         self.place.update(zip(fresh, range(len(self.place), len(self.place) + len(fresh))))
         self.bounds = np.append(self.bounds, self.bounds[-1] + np.cumsum(lengths))
         self.ids = np.concatenate([self.ids, flat])
 
     def find(self, words: list[str]) -> np.ndarray:
-        fresh = [w for w in words if w not in self.place]
+        numbers = np.fromiter(map(self.place.get, words, repeat(-1)), np.int64, len(words))
+        new = numbers < 0
+        fresh = [words[k] for k in np.flatnonzero(new).tolist()]
         size = sum(map(len, fresh)) + WORD_BYTES * len(fresh)
         if self.held and self.held + size > MEMORY_BYTES:
             self.forget()
-            fresh = words
+            fresh, new = words, np.ones(len(words), bool)
             size = sum(map(len, fresh)) + WORD_BYTES * len(fresh)
         if fresh:
+            numbers[new] = len(self.place) + np.arange(len(fresh))
             self.learn(fresh)
             self.held += size
-        return np.fromiter((self.place[w] for w in words), np.int64, len(words))
+        return numbers
 
 
 @lru_cache(maxsize=2)
