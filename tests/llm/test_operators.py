@@ -254,6 +254,41 @@ def test_near_copies_meet_few(spark):
     assert {r["component_id"] for r in neardup.near_duplicates(rows).collect()} == {0}
 
 
+def test_refused_pairs_go_nowhere(spark, monkeypatch):
+    """Near copies that are plausible but not similar enough leave their bucket as links only,
+    not as pairs whose number grows with the square of the group."""
+    rng = np.random.default_rng(8)
+    base, texts = [f"w{k}" for k in range(400)], []
+    for k in range(150):
+        words = list(base)
+        for at in (np.arange(8) * 50 + rng.integers(0, 45, 8)).tolist():
+            words[at] = f"x{k}y{at}"
+        texts.append(words)
+    texts += [[*t[:399], "end"] for t in texts[:20]]  # each similar to one other at least
+    sets = [{tuple(w[k : k + 5]) for k in range(396)} for w in texts]
+    alike = [
+        (a, b) for a in range(170) for b in range(a)
+        if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])
+    ]
+    root = list(range(170))
+    for _ in range(170):
+        for a, b in alike:
+            root[a] = root[b] = min(root[a], root[b])
+    pairs, confirmed = [], neardup.confirmed
+
+    def counted(some, packed):
+        pairs.append(some.count())
+        return confirmed(some, packed)
+
+    monkeypatch.setattr(neardup, "confirmed", counted)
+    monkeypatch.setattr(neardup, "BLOCK", 40)  # so that buckets fall into several blocks
+    monkeypatch.setattr(neardup, "SET_BYTES", 20_000)
+    rows = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(rows).collect()}
+    assert got == dict(enumerate(root)) and 20 < len(set(root)) < 165
+    assert sum(pairs) < 2000
+
+
 def test_workers_give_memory_back(spark):
     """A task of one operator drops what another one remembers, and its own stays."""
     from waystone.llm import batches

@@ -8,21 +8,22 @@
    probability of the wanted similarity falls below ``MISS``; the rest is verified on
    full shingle sets.
 4. A bucket never emits all its pairs: first every class meets one other, the smallest id of all
-   its buckets; then the smallest ids of those buckets where it is still apart from them; then
-   the most similar class that is still in another component; at last what is still in
-   different components and plausible, each pair in one bucket only.
+   its buckets; then the smallest ids of those buckets where it is still apart from them; at last
+   what is still in different components and plausible, each pair in one bucket only. These
+   are verified where the bucket meets, and only links leave it.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.stage import stage
@@ -50,6 +51,10 @@ STEP = 16
 MISS = 1e-4
 #: Members of a bucket that are compared with each other in one group.
 BLOCK = 1024
+#: Bytes of packed texts in such a block, and of shingle sets that a task keeps while it compares.
+BLOCK_BYTES, SET_BYTES = 16 << 20, 64 << 20
+#: What rows that are compared with each other have in common.
+GROUP = ["band", "_i", "_j"]
 CHAIN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -308,72 +313,127 @@ def open_stars(members: DataFrame, parts: DataFrame) -> DataFrame:
     return apart.select(F.col("lead.rep").alias("a"), F.col("rep").alias("b")).distinct()
 
 
-def unresolved_pairs(
-    members: DataFrame, classes: DataFrame, parts: DataFrame, miss: float, best_only: bool
-) -> DataFrame:
-    """Plausible pairs between different components that share a bucket.
+def dealt_groups(rows: DataFrame, blocks: Column) -> DataFrame:
+    """Members of a bucket (band, rep, component, ...) that has several components, sorted by group.
 
-    Large buckets are compared in pairs of blocks, so a task holds two blocks at most.
-    With ``best_only``, every class names only its most similar partner in the group.
+    Large buckets are cut into ``blocks`` (an aggregate), which meet in pairs, so a task holds
+    two blocks at most.
     """
-    tagged = members.select("band", "rep").join(parts, "rep")
-    mixed = tagged.groupBy("band").agg(
-        F.count("*").alias("n"), F.min("component").alias("low_c"), F.max("component").alias("high_c")
-    ).filter("low_c < high_c").select("band", "n")
-    open_ones = tagged.join(mixed, "band").join(classes.select("rep", "low", "bands"), "rep")
-    blocks = F.ceil(F.col("n") / BLOCK)
-    open_ones = open_ones.withColumn("_blocks", blocks).withColumn(
-        "_own", F.pmod(F.xxhash64("rep"), F.col("_blocks"))
-    )
+    mixed = rows.groupBy("band").agg(
+        blocks.alias("_blocks"), F.min("component").alias("low_c"), F.max("component").alias("high_c")
+    ).filter("low_c < high_c").select("band", "_blocks")
+    cut = rows.join(mixed, "band").withColumn("_own", F.pmod(F.xxhash64("rep"), F.col("_blocks")))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1))
-    dealt = open_ones.withColumn("_other", other).select(
+    dealt = cut.withColumn("_other", other).select(
         "band", F.least("_own", "_other").alias("_i"), F.greatest("_own", "_other").alias("_j"),
-        "_own", "rep", "component", "low", "bands",
+        "_own", *(c for c in rows.columns if c != "band"),
     )
+    return dealt.repartition(*GROUP).sortWithinPartitions(*GROUP, "rep")
+
 
-    keys = ["band", "_i", "_j"]
-    grouped = dealt.repartition(*keys).sortWithinPartitions(*keys, "rep")
+def open_members(members: DataFrame, classes: DataFrame, parts: DataFrame, miss: float) -> DataFrame:
+    """Members (band, rep) with a plausible partner in another component, a row each however many."""
+    rows = members.select("band", "rep").join(parts, "rep").join(
+        classes.select("rep", "low", "bands"), "rep"
+    )
 
     @frugal
     def run(batches):
-        for table in whole_groups(batches, keys):
-            a, b = _compare(table, keys, miss, best_only)
+        for table in whole_groups(batches, GROUP):
+            rep, band = table["rep"].to_numpy(), table["band"].to_numpy()
+            open_ones = np.zeros(len(rep), bool)
+            for k, at in _plausible_partners(table, miss):
+                open_ones[at] = True
+                open_ones[k] = True
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"]
+                [pa.array(band[open_ones]), pa.array(rep[open_ones])], names=["band", "rep"]
             )
 
-    pairs = grouped.mapInArrow(run, "a long, b long")
-    return pairs.distinct() if best_only else pairs
+    grouped = dealt_groups(rows, F.ceil(F.count("*") / BLOCK))
+    return grouped.mapInArrow(run, "band long, rep long").distinct()
+
+
+def group_links(
+    some: DataFrame, classes: DataFrame, parts: DataFrame, texts: DataFrame, miss: float
+) -> DataFrame:
+    """Links (a, b) between different components among the members ``some`` (band, rep) of each bucket.
+
+    Full sets are compared where the members meet, so pairs that are not similar enough go
+    nowhere; a pair whose components are linked by then needs no test.
+    """
+    rows = some.join(parts, "rep").join(classes.select("rep", "low", "bands"), "rep").join(texts, "rep")
+    blocks = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum(F.length("z")) / BLOCK_BYTES))
+
+    @frugal
+    def run(batches):
+        joined: dict[int, int] = {}
+
+        def root(part: int) -> int:
+            while part in joined:
+                joined[part] = part = joined.get(joined[part], joined[part])
+            return part
+
+        for table in whole_groups(batches, GROUP):
+            rep, part = table["rep"].to_numpy(), table["component"].to_numpy().tolist()
+            sets = HeldSets(table)
+            a, b = [], []
+            for k, at in _plausible_partners(table, miss):
+                for other in at.tolist():
+                    x, y = root(part[k]), root(part[other])
+                    if x != y and similar(sets[k], sets[other]):
+                        joined[max(x, y)] = min(x, y)
+                        a.append(min(rep[k], rep[other]))
+                        b.append(max(rep[k], rep[other]))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"]
+            )
+
+    return dealt_groups(rows, blocks).mapInArrow(run, "a long, b long")
+
+
+class HeldSets:
+    """Shingle sets of the table's rows (rep, z), made when first asked for; at most
+    ``SET_BYTES`` are held, and the two last asked for."""
+
+    def __init__(self, table: pa.Table):
+        self.rep, self.z = table["rep"].to_numpy(), table["z"]
+        self.unpack = zstandard.ZstdDecompressor()
+        self.held: dict[int, np.ndarray] = {}
+        self.size = 0
+
+    def __getitem__(self, row: int) -> np.ndarray:
+        key = int(self.rep[row])
+        if key not in self.held:
+            text = self.unpack.decompress(self.z[row].as_py()).decode()
+            found = shingle_sets(pa.array([text], pa.string()))[0][0]
+            if self.size + found.nbytes > SET_BYTES:
+                self.held, self.size = {}, 0
+            self.held[key] = found
+            self.size += found.nbytes
+        return self.held[key]
 
 
-def _compare(table: pa.Table, keys: list[str], miss: float, best_only: bool):
-    """Pairs of every group of the table, whose rows are sorted by group and id."""
-    rep, part = table["rep"].to_numpy(), table["component"].to_numpy()
-    own = table["_own"].to_numpy()
+def _plausible_partners(table: pa.Table, miss: float) -> Iterator[tuple[int, np.ndarray]]:
+    """A row and its later plausible partners in other components, by groups of the table, whose
+    rows are sorted by group and id. A pair belongs to the first band that it shares."""
+    part, own = table["component"].to_numpy(), table["_own"].to_numpy()
     crossed = table["_i"].to_numpy() != table["_j"].to_numpy()
     low = byte_rows(table["low"].combine_chunks())
     bands = pc.list_flatten(table["bands"].combine_chunks()).to_numpy().reshape(-1, BANDS)
     here = table["band"].to_numpy()
-    a_out, b_out = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for start, stop in group_spans(table, keys):
-        for k in range(start, stop):
-            partner = part[start:stop] != part[k]
+    for start, stop in group_spans(table, GROUP):
+        for k in range(start, stop - 1):
+            partner = part[k + 1 : stop] != part[k]
             if crossed[k]:  # pairs within a block belong to the block's own group
-                partner &= own[start:stop] != own[k]
-            if not best_only:
-                partner[: k + 1 - start] = False
-            at = np.flatnonzero(partner) + start
+                partner &= own[k + 1 : stop] != own[k]
+            at = np.flatnonzero(partner) + k + 1
             if not len(at):
                 continue
-            keep, matches = plausible(np.broadcast_to(low[k], (len(at), low.shape[1])), low[at], miss)
-            if best_only:
-                keep = keep[np.lexsort((rep[at[keep]], -matches[keep]))[:1]]
-            else:  # a pair belongs to the first band that it shares
-                first = (bands[at[keep]] == bands[k]).argmax(1)
-                keep = keep[bands[k][first] == here[k]]
-            a_out.append(np.full(len(keep), rep[k]))
-            b_out.append(rep[at[keep]])
-    return np.concatenate(a_out), np.concatenate(b_out)
+            keep, _ = plausible(np.broadcast_to(low[k], (len(at), low.shape[1])), low[at], miss)
+            first = (bands[at[keep]] == bands[k]).argmax(1)
+            at = at[keep[bands[k][first] == here[k]]]
+            if len(at):
+                yield k, at
 
 
 def near_duplicates(docs: DataFrame, miss: float = MISS) -> DataFrame:
@@ -400,17 +460,17 @@ def near_duplicates(docs: DataFrame, miss: float = MISS) -> DataFrame:
     texts = packed_texts(docs).withColumnRenamed("doc_id", "rep").join(wanted, "rep", "left_semi")
     texts = stage(texts.groupBy("rep").agg(F.first("z").alias("z")), "texts")
 
-    def verified(pairs: DataFrame, tested: bool) -> DataFrame:
-        likely = pairs if tested else likely_pairs(pairs, classes, miss)
-        return stage(confirmed(likely, texts), "links")
+    def verified(pairs: DataFrame) -> DataFrame:
+        return stage(confirmed(likely_pairs(pairs, classes, miss), texts), "links")
 
-    links = verified(first_stars(members), False)
+    links = verified(first_stars(members))
     parts = stage(class_components(classes, links), "parts")
-    for step in ("stars", "best", "all"):
+    for step in ("stars", "all"):
         if step == "stars":
-            found = verified(open_stars(members, parts), False)
+            found = verified(open_stars(members, parts))
         else:
-            found = verified(unresolved_pairs(members, classes, parts, miss, step == "best"), True)
+            some = stage(open_members(members, classes, parts, miss), "open")
+            found = stage(group_links(some, classes, parts, texts, miss), "links")
         if found.limit(1).count():  # else nothing changes
             links = links.union(found)
             parts = stage(class_components(classes, links), "parts")
