@@ -309,6 +309,22 @@ def test_workers_give_memory_back(spark):
     assert packing.__name__ in batches.REMEMBERED
 
 
+def test_forgotten_memory_is_back_before_the_task(monkeypatch):
+    """What others remembered goes back to the system before a task takes memory of its own."""
+    from waystone.llm import batches
+
+    done = []
+    monkeypatch.setattr(batches, "free_memory", lambda: done.append("free"))
+    monkeypatch.setattr(batches, "REMEMBERED", {"another": lambda: done.append("forget")})
+
+    def run(rows):
+        done.append("begin")
+        yield from rows
+
+    assert list(batches.frugal(run)(iter([1]))) == [1]
+    assert done == ["forget", "free", "begin", "free"]
+
+
 def test_components(spark):
     edges = [(k, k + 1) for k in range(0, 40)] + [(100, 90), (100, 95), (60, 61)]
     found = neardup.components(spark.createDataFrame(edges, "a long, b long"))

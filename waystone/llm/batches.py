@@ -32,13 +32,14 @@ def free_memory() -> None:
 
 def frugal(run):
     """A task of ``mapInArrow`` whose worker, which outlives it, keeps no memory but what the
-    task's own module remembers."""
+    task's own module remembers; what others remembered is handed back before the task begins."""
 
     @wraps(run)
     def task(batches):
         for module, forget in REMEMBERED.items():
             if module != run.__module__:
                 forget()
+        free_memory()
         try:
             yield from run(batches)
         finally:
