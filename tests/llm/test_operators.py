@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from sentencepiece import SentencePieceProcessor
@@ -368,6 +369,38 @@ def test_remove_repeats(docs, empty, monkeypatch, hot):
     assert suffixdedup.remove_repeats(empty).count() == 0
 
 
+def test_only_windows_that_come_again_are_sorted(tmp_path, monkeypatch):
+    rng = np.random.default_rng(5)
+    lone = [bytes(rng.integers(97, 123, 3000, dtype=np.uint8)) for _ in range(20)]
+    shared = lone[0][500:700]
+    raw = [*lone, lone[1][:100] + shared, shared[:60], lone[2][:49], b"ab" * 100]
+    sizes, ids = np.array([len(r) for r in raw]), np.arange(len(raw))[::-1].copy()
+    data = np.frombuffer(b"".join(raw), np.uint8)
+    lengths = []
+    suffixes = suffixdedup.suffixes
+
+    def counted(text, *rest):
+        lengths.append(len(text))
+        return suffixes(text, *rest)
+
+    monkeypatch.setattr(suffixdedup, "suffixes", counted)
+    (tmp_path / "all").mkdir()
+    want = suffixdedup.least_ids(sizes, ids, data, str(tmp_path / "all"))
+    first = {}
+    for r, i in zip(raw, ids.tolist(), strict=True):
+        for k in range(len(r) - 49):
+            first[r[k : k + 50]] = min(first.get(r[k : k + 50], i), i)
+    assert want.tolist() == [first[r[k : k + 50]] for r in raw for k in range(len(r) - 49)]
+    assert suffixdedup.least_shared(sizes, ids, data, str(tmp_path)).tolist() == want.tolist()
+    assert lengths[0] > 60_000 and lengths[1] < 2_000
+    pieces = pa.table({
+        "shard": [0], "block": [0], "ids": [suffixdedup.squeeze(ids)], "data": [suffixdedup.squeeze(data)],
+        "sizes": [suffixdedup.squeeze(sizes.astype(np.int32))],
+    })
+    suffixdedup._answer_shard(pieces)
+    assert lengths[2] == lengths[1]  # the whole shard step sorts no more
+
+
 def test_score(docs, empty):
     ids = [r[0] for r in ROWS]
     fold = scoring.fold_of(ids)

@@ -9,8 +9,9 @@ A byte goes if it lies in a 50-byte string that also starts in a document with a
    anchor, so equal windows meet. Equal pieces of a block go once, with the smallest
    id. Windows of an anchor in very many documents go by their own hash instead,
    so such an anchor is no hot spot.
-3. Each shard sorts its suffixes (``induced``: external induced sorting with common prefixes in
-   disk-backed queues); neighbours that share 50 bytes form a class, whose smallest
+3. Windows that are in one place of a shard only, by their hash, are ruled out without loss. Each
+   shard sorts the suffixes of the rest (``induced``: external induced sorting with common
+   prefixes in disk-backed queues); neighbours that share 50 bytes form a class, whose smallest
    id goes back to the blocks.
 """
 
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.stage import stage
-from .batches import MIX_A, MIX_B, frugal, mix, ragged, whole_groups
+from .batches import MIX_A, MIX_B, buffer_of, frugal, mix, ragged, whole_groups
 from .blocks import Block, arrow_schema, range_count, spread, squeeze, stored_blocks, unpacked, with_answers
 from .induced import suffixes
 
@@ -255,13 +256,14 @@ def cut_pieces(block: Block, answers: pa.Table, ranges: int, shards: int) -> lis
     least = np.full(len(pieces.contents), NONE)
     np.minimum.at(least, pieces.code, own_ids(block, pieces.start))
     rows = {"shard": [], "block": [], "ids": [], "sizes": [], "data": []}
+    raw, ends = buffer_of(pieces.contents)
+    sizes = np.diff(ends).astype(np.int32)
     for a, b in _spans(pieces.shard):
-        raw = pieces.contents.slice(a, b - a).to_pylist()
         rows["shard"].append(int(pieces.shard[a]))
         rows["block"].append(block.number)
         rows["ids"].append(squeeze(least[a:b]))
-        rows["sizes"].append(squeeze(np.array([len(r) for r in raw], np.int32)))
-        rows["data"].append(squeeze(np.frombuffer(b"".join(raw), np.uint8), 4))
+        rows["sizes"].append(squeeze(sizes[a:b]))
+        rows["data"].append(squeeze(raw[ends[a] : ends[b]], 4))
     types = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
     return [pa.RecordBatch.from_arrays(
         [pa.array(v, t) for v, t in zip(rows.values(), types, strict=True)], names=list(rows)
@@ -322,6 +324,63 @@ def least_ids(sizes: np.ndarray, ids: np.ndarray, data: np.ndarray, folder: str)
     return least
 
 
+def shared_runs(sizes: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Runs (first window, number of windows) of all pieces in order, within one piece each, of
+    windows whose hash comes again: all others differ from every window of the pieces."""
+    windows = sizes - WINDOW + 1
+    none = np.zeros(0, np.int64)
+    if not len(sizes):
+        return none, none
+    bounds = np.concatenate([[0], np.cumsum(sizes)])
+    hashes = byte_hashes(data, WINDOW)[ragged(bounds[:-1], windows)]
+    rising = np.sort(hashes)
+    again = rising[1:][rising[1:] == rising[:-1]]
+    del rising
+    bits = np.uint64(64 - min(max(int(8 * len(hashes)).bit_length(), 16), 26))
+    found = np.zeros(1 << int(64 - bits), bool)
+    found[(again >> bits).astype(np.int64)] = True
+    kept = np.flatnonzero(found[(hashes >> bits).astype(np.int64)])
+    if not len(kept):
+        return none, none
+    piece = np.repeat(np.arange(len(sizes)), windows)[kept]
+    new = np.ones(len(kept), bool)
+    new[1:] = (kept[1:] != kept[:-1] + 1) | (piece[1:] != piece[:-1])
+    first = np.flatnonzero(new)
+    return kept[first], np.diff(np.append(first, len(kept)))
+
+
+def distinct_pieces(
+    sizes: np.ndarray, ids: np.ndarray, data: np.ndarray
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Sizes, smallest ids and bytes of the distinct pieces, and which of them each piece is."""
+    bounds = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+    listed = pa.Array.from_buffers(
+        pa.large_binary(), len(sizes), [None, pa.py_buffer(bounds), pa.py_buffer(data)]
+    ).dictionary_encode()
+    code = listed.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    least = np.full(len(listed.dictionary), NONE)
+    np.minimum.at(least, code, ids)
+    _, index = np.unique(code, return_index=True)
+    return sizes[index], least, data[ragged(bounds[index], sizes[index])], code
+
+
+def least_shared(sizes: np.ndarray, ids: np.ndarray, data: np.ndarray, folder: str) -> np.ndarray:
+    """As ``least_ids``, of which only windows that may occur again are sorted."""
+    windows = sizes - WINDOW + 1
+    least = np.repeat(ids, windows)
+    first, n = shared_runs(sizes, data)
+    if not len(first):
+        return least
+    own = np.searchsorted(np.cumsum(windows), first, "right")
+    start = first + own * (WINDOW - 1)  # each piece has that many more bytes than windows
+    run_sizes = n + WINDOW - 1
+    some, low, text, code = distinct_pieces(run_sizes, ids[own], data[ragged(start, run_sizes)])
+    found = least_ids(some, low, text, folder)
+    starts = np.concatenate([[0], np.cumsum(some - WINDOW + 1)])
+    least[ragged(first, n)] = found[ragged(starts[code], n)]
+    return least
+
+
 def shard_answers(pieces: DataFrame, shards: int) -> DataFrame:
     """Per shard and block, for its contents: runs of windows and the smallest id of each run."""
 
@@ -340,18 +399,9 @@ def _answer_shard(table: pa.Table) -> pa.RecordBatch:
     ids = [spread(x, np.int64) for x in table["ids"].to_pylist()]
     data = np.concatenate([spread(x, np.uint8) for x in table["data"].to_pylist()])
     ends_of = np.concatenate([[0], np.cumsum([len(s) for s in sizes])]).tolist()
-    size, own = np.concatenate(sizes), np.concatenate(ids)
-    bounds = np.concatenate([[0], np.cumsum(size)])
-    listed = pa.Array.from_buffers(
-        pa.large_binary(), len(size), [None, pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(data)]
-    ).dictionary_encode()
-    code = listed.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-    first_of = np.full(len(listed.dictionary), NONE)
-    np.minimum.at(first_of, code, own)
-    once, index = np.unique(code, return_index=True)
-    distinct = size[index]
+    distinct, low, text, code = distinct_pieces(np.concatenate(sizes), np.concatenate(ids), data)
     with tempfile.TemporaryDirectory() as folder:
-        least = least_ids(distinct, first_of[once], data[ragged(bounds[index], distinct)], folder)
+        least = least_shared(distinct, low, text, folder)
     windows = distinct - WINDOW + 1
     ends = np.concatenate([[0], np.cumsum(windows)])
     # runs of one smallest id within each distinct content
